@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import day_text
-from ..operators import skew, spatial, timegrid
+from ..operators import skew, spatial, spikes, timegrid
 from ..sources.tables import table
 
 PANEL = ["spend", "impressions", "clicks"]
@@ -76,7 +76,19 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return skew.percentiles(table(spark, d, "mobility_edges"), "src_zip", "weight", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_rolling, p3_found, p3_regions, p4_found, p4_totals, p4_percentiles)}
+def _flags(spark: SparkSession, d: str) -> DataFrame:
+    return spikes.flag_readings(_readings(spark, d, ["spend"])).filter("flag IS NOT NULL")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _flags(spark, d).select("reading_id")
+
+
+def p5_flags(spark: SparkSession, d: str) -> DataFrame:
+    return _flags(spark, d).select("geo_id", "reading_id", F.col("value").alias("spend"), F.round("deviation", 4).alias("deviation"), F.round("p_spike", 4).alias("p_spike"), F.round("p_stuck", 4).alias("p_stuck"), "flag")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_rolling, p3_found, p3_regions, p4_found, p4_totals, p4_percentiles, p5_found, p5_flags)}
 
 USABLE = """
 valid AS (SELECT * FROM timeseries WHERE geo_id IS NOT NULL AND date >= TIMESTAMP '2024-01-01' AND date < TIMESTAMP '2024-05-30'),
