@@ -12,10 +12,18 @@ VECTORS = """ok AS (SELECT DISTINCT * FROM zip_embeddings WHERE zip IS NOT NULL
 near AS (SELECT a.zip, min(b.zip) AS cluster FROM ok a JOIN ok b ON abs(a.e0 - b.e0) <= 1 AND abs(a.e1 - b.e1) <= 1
   AND pow(a.e0-b.e0,2)+pow(a.e1-b.e1,2)+pow(a.e2-b.e2,2)+pow(a.e3-b.e3,2)+pow(a.e4-b.e4,2)+pow(a.e5-b.e5,2)+pow(a.e6-b.e6,2)+pow(a.e7-b.e7,2) <= 1 GROUP BY a.zip)"""
 
+SPANS = """d AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM documents),
+i AS (SELECT item_id, kind, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM eval_items),
+ds AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda p: lower(array_to_string(w[p:p + 11], ' ')))) AS s FROM d),
+items AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda p: lower(array_to_string(w[p:p + 11], ' ')))) AS s FROM i),
+leaks AS (SELECT DISTINCT doc_id, item_id FROM ds JOIN items ON ds.s = items.s)"""
+
 SQL = {
     "p6_found": f"""WITH {EDGES}, k AS (SELECT record_id, min(record_id) OVER (PARTITION BY src_zip, dst_zip, weight) AS keep_id FROM e)
 SELECT keep_id, record_id FROM k WHERE keep_id <> record_id""",
     "p6_records": f"""WITH {EDGES}
 SELECT min(record_id) AS keep_id, src_zip, dst_zip, weight, count(*) AS n_copies FROM e GROUP BY src_zip, dst_zip, weight""",
+    "p8_found": f"WITH {SPANS} SELECT * FROM leaks",
+    "p8_items": f"WITH {SPANS} SELECT i.item_id, i.kind, count(doc_id) AS n_docs FROM i LEFT JOIN leaks ON i.item_id = leaks.item_id GROUP BY i.item_id, i.kind",
     "p7_found": f"WITH {VECTORS} SELECT cluster AS cluster_zip, zip FROM near WHERE zip > cluster",
 }
