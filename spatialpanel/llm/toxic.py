@@ -138,12 +138,11 @@ class ToxicParams:
     l1: float = 0.15
     l2: float = 0.5
     epochs: int = 4
-    rounds: int = 3
     batch_lines: int = 16
-    doubt: float = 0.4  # positive documents under this are taken as mislabelled in later rounds
+    doubt: float = 0.3  # positive documents whose worst line scores less are taken as mislabelled
     dropout: float = 0.4  # share of the features hidden at each step of the training
     max_labelled: int = 20_000  # labelled documents used, the first by hash of the id
-    threshold: float = 0.3
+    threshold: float = 0.5
 
 
 class Ftrl:
@@ -180,9 +179,13 @@ def train(texts: list[str], labels: np.ndarray, terms: list[str], p: ToxicParams
     """Dense weights (the bias last) from labelled documents.
 
     Only the document is labelled, not the line: in a positive document the line
-    the model finds worst stands for it, first by how much its features prefer
-    positive documents (``terms`` add to that), then by the model itself, in
-    ``rounds``. Labels the model flatly contradicts are left out of later rounds.
+    found worst stands for it. First that is the line whose features most prefer
+    positive documents (``terms`` add to that); a model trained on each half of
+    the documents then judges the other half. The line it finds worst takes
+    over. A positive document in which it finds nothing counts as mislabelled
+    unless the first choice has a term or a feature that is all but unknown to
+    negative documents; so does a negative line it flatly contradicts. The final
+    model is trained on the rest.
     """
     if not len(texts) or not labels.any() or labels.all():
         return np.r_[np.zeros(1 << p.bits), -10.0]
@@ -194,33 +197,33 @@ def train(texts: list[str], labels: np.ndarray, terms: list[str], p: ToxicParams
     neg_df = np.bincount(seen[1][labels[seen[0]] == 0], minlength=1 << p.bits)
     odds = np.log((pos_df + 0.1) / (neg_df + 0.3)) - np.log(labels.sum() / (labels == 0).sum())
     odds = np.where(pos_df >= min(2, labels.sum()), odds, 0.0)
-    flagged = np.unique(line_features(terms, p.bits)[0]) if terms else np.zeros(0, np.int64)
+    flagged = np.zeros(1 << p.bits, bool)
+    if terms:
+        flagged[line_features(terms, p.bits)[0]] = True
     odds[flagged] += 1.5
     lead = np.maximum(odds, 0) * np.sqrt(pos_df + 1)
     score = 0.01 * np.bincount(line, lead[feature], n_lines)
     np.maximum.at(score, line, lead[feature])
+    telling = np.bincount(line, (flagged | ((pos_df >= 3) & (20 * neg_df <= pos_df)))[feature], n_lines) > 0
     order = np.argsort(line, kind="stable")
     feature_by, starts = feature[order], np.searchsorted(line[order], np.arange(n_lines + 1))
     # one line stands for all negative lines that read the same
     neg = np.flatnonzero(~positive)
     _, pick, count = np.unique(key[neg], return_index=True, return_counts=True)
-    common = np.isin(key, key[neg[pick]][count > 1])  # lines that several negative lines read like
+    common = np.isin(key, key[neg[pick]][count > 1]) & positive  # lines that several negative lines read like
     neg, neg_weight, once = neg[pick], np.log2(1 + count), count == 1
-    first = np.searchsorted(doc, np.flatnonzero(labels == 1))
-    bound = np.searchsorted(doc, np.flatnonzero(labels == 1), side="right")
-    drop_pos, drop_neg = np.zeros(len(first), bool), np.zeros(len(neg), bool)
-    model, hidden = Ftrl(p), np.uint64(int(p.dropout * 2**64))
-    for turn in range(p.rounds):
-        score = np.where(common & positive, score * 1e-3, score)
-        best = np.array([a + int(np.argmax(score[a:b])) for a, b in zip(first, bound)])
-        if turn:
-            drop_pos, drop_neg = score[best] < p.doubt, (score[neg] > 0.9) & once
-        rows = np.r_[best[~drop_pos], neg[~drop_neg]]
-        y = np.r_[np.ones((~drop_pos).sum()), np.zeros((~drop_neg).sum())]
-        weight = np.r_[np.ones((~drop_pos).sum()), neg_weight[~drop_neg]]
+    first, last = np.searchsorted(doc, np.flatnonzero(labels == 1)), np.searchsorted(doc, np.flatnonzero(labels == 1), side="right")
+
+    def worst(score: np.ndarray) -> np.ndarray:
+        score = np.where(common, score * 1e-3, score)
+        return np.array([a + int(np.argmax(score[a:b])) for a, b in zip(first, last)])
+
+    def run(pos: np.ndarray, neg: np.ndarray, neg_weight: np.ndarray) -> np.ndarray:
+        rows, y = np.r_[pos, neg], np.r_[np.ones(len(pos)), np.zeros(len(neg))]
+        weight = np.r_[np.ones(len(pos)), neg_weight]
         shuffle = np.argsort(mix(key[rows] + np.arange(len(rows)).astype(np.uint64)))
         rows, y, weight = rows[shuffle], y[shuffle], weight[shuffle]
-        model = Ftrl(p)
+        model, hidden = Ftrl(p), np.uint64(int(p.dropout * 2**64))
         for epoch in range(p.epochs):
             for a in range(0, len(rows), p.batch_lines):
                 r = rows[a : a + p.batch_lines]
@@ -229,8 +232,18 @@ def train(texts: list[str], labels: np.ndarray, terms: list[str], p: ToxicParams
                 row = np.repeat(np.arange(len(r)), length)
                 shown = mix(feature_by[at].astype(np.uint64) + np.uint64(a * 64 + epoch)) >= hidden
                 model.step(feature_by[at][shown], row[shown], y[a : a + p.batch_lines], weight[a : a + p.batch_lines])
-        score = _line_scores(model.weights(slice(None)), feature, line, n_lines)
-    return model.weights(slice(None))
+        return model.weights(slice(None))
+
+    best, half = worst(score), doc % 2 == 1
+    judged = np.zeros(n_lines)
+    for side in (False, True):
+        w = run(best[half[best] == side], neg[half[neg] == side], neg_weight[half[neg] == side])
+        judged = np.where(half != side, _line_scores(w, feature, line, n_lines), judged)
+    found = worst(judged)
+    best = np.where(judged[found] >= p.doubt, found, best)
+    keep_pos = (judged[best] >= p.doubt) | telling[best]
+    keep_neg = ~((judged[neg] > 0.9) & once)
+    return run(best[keep_pos], neg[keep_neg], neg_weight[keep_neg])
 
 
 def fit(documents: DataFrame, labels: DataFrame, terms: DataFrame, p: ToxicParams) -> tuple[np.ndarray, np.ndarray, float]:
