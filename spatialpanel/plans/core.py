@@ -23,7 +23,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_grid(spark: SparkSession, d: str) -> DataFrame:
     grid = timegrid.regular_grid(_readings(spark, d, ["spend"]), "geo_id", "date", "spend")
-    return grid.select("geo_id", day_text(F.col("cell")).alias("day"), "n_readings", F.round("value", 4).alias("spend"), "status")
+    return grid.select("geo_id", day_text(F.col("cell")).alias("day"), "n_readings", F.col("value").alias("spend"), "status")
 
 
 def _rolling(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +112,7 @@ v AS (SELECT geo_id, d, CASE
     THEN pv + (qv - pv) * ((epoch_us(g) - epoch_us(pt))::DOUBLE / (epoch_us(qt) - epoch_us(pt))::DOUBLE) END
   WHEN qt IS NULL AND epoch_us(g) - epoch_us(pt) <= 259200000000 THEN pv
   WHEN pt IS NULL AND epoch_us(qt) - epoch_us(g) <= 259200000000 THEN qv END AS value FROM q)
-SELECT v.geo_id, strftime(v.d, '%Y-%m-%d') AS day, coalesce(n, 0)::BIGINT AS n_readings, round(value, 4) AS spend,
+SELECT v.geo_id, strftime(v.d, '%Y-%m-%d') AS day, coalesce(n, 0)::BIGINT AS n_readings, value AS spend,
   CASE WHEN coalesce(n, 0) > 0 THEN 'observed' WHEN value IS NOT NULL THEN 'interpolated' ELSE 'gap' END AS status
 FROM v LEFT JOIN counts c ON v.geo_id = c.geo_id AND v.d = c.d""",
     "p3_found": """WITH ok AS (SELECT DISTINCT * FROM geo_df WHERE geo_id IS NOT NULL AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180
