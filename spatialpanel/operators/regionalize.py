@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.vectors import square_distance
+from ..functions.rng import normal
+from ..functions.vectors import literal, square_distance, times_vector, unit
 from ..schema import all_finite, require_unique
 from ..session import materialise
 from .graph import Graph, components
@@ -217,16 +218,39 @@ def relabel(labels: DataFrame) -> DataFrame:
     return labels.join(ranks, "unit_id").select("zip", F.col("_new").alias("unit_id"))
 
 
-def spectral_clusters(g: Graph, n_clusters: int, max_iter: int = 30) -> DataFrame:
-    """(zip, unit_id) by power iteration on the normalised affinities (edge weights), Spark's own implementation."""
-    from pyspark.ml.clustering import PowerIterationClustering
+def spectral_embedding(g: Graph, dims: int, rounds: int = 20, seed: int = 0) -> DataFrame:
+    """(zip, vec): the leading ``dims`` eigenvectors' span of the normalised adjacency, rows of unit length.
 
-    ids = materialise(g.nodes.select("zip", F.xxhash64("zip").alias("id")), "ids")
-    a, b = ids.select(F.col("zip").alias("src"), F.col("id").alias("_s")), ids.select(F.col("zip").alias("dst"), F.col("id").alias("_d"))
-    pairs = g.edges.filter("src < dst").join(a, "src").join(b, "dst").select(F.col("_s").alias("src"), F.col("_d").alias("dst"), "weight")
-    model = PowerIterationClustering(k=n_clusters, maxIter=max_iter, initMode="degree", weightCol="weight")
-    found = model.assignClusters(pairs)
-    return ids.join(found, "id", "left").select("zip", F.coalesce(F.col("cluster").cast("bigint"), F.lit(-1)).alias("unit_id"))
+    Subspace iteration: vec <- (vec + neighbours' vec by normalised weight) / 2,
+    then orthonormalised through its dims x dims Gram matrix, the only thing that
+    reaches the driver. Every other round is written to the shared folder. Islands do not come out.
+    """
+    degree = g.edges.groupBy(F.col("src").alias("zip")).agg(F.sum("weight").alias("d"))
+    da, db = degree.select(F.col("zip").alias("src"), F.col("d").alias("_a")), degree.select(F.col("zip").alias("dst"), F.col("d").alias("_b"))
+    step = materialise(g.edges.join(da, "src").join(db, "dst").select("src", "dst", (F.col("weight") / F.sqrt(F.col("_a") * F.col("_b"))).alias("w")), "affinities")
+    vec = degree.select("zip", F.array(*[normal(seed, f"spectral{i}", F.col("zip")) for i in range(dims)]).alias("vec"))
+    item = lambda c, i: F.get(c, F.lit(i))
+    for turn in range(rounds):
+        met = step.join(vec.select(F.col("zip").alias("dst"), "vec"), "dst").groupBy(F.col("src").alias("zip")).agg(F.array(*[F.sum(F.col("w") * item("vec", i)) for i in range(dims)]).alias("n"))
+        vec = materialise(vec.join(met, "zip").select("zip", F.zip_with("vec", "n", lambda x, y: (x + y) / 2).alias("vec")), "spectral")
+        if turn % 2 and turn < rounds - 1:
+            continue
+        r = vec.agg(*[F.sum(item("vec", i) * item("vec", j)).alias(f"g{i}_{j}") for i in range(dims) for j in range(i + 1)]).first()
+        gram = np.array([[r[f"g{max(i, j)}_{min(i, j)}"] or 0.0 for j in range(dims)] for i in range(dims)])
+        value, basis = np.linalg.eigh(gram)
+        turn_to = (basis / np.sqrt(np.maximum(value, 1e-300))).T
+        vec = vec.select("zip", times_vector(literal(turn_to), F.col("vec")).alias("vec"))
+    return vec.select("zip", unit(F.col("vec")).alias("vec"))
+
+
+def spectral_clusters(g: Graph, n_clusters: int, seed: int = 0) -> DataFrame:
+    """(zip, unit_id): k-means on the spectral embedding; islands get -1."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = spectral_embedding(g, n_clusters, seed=seed).withColumn("features", array_to_vector("vec"))
+    found = KMeans(k=n_clusters, seed=seed).fit(rows).transform(rows).select("zip", F.col("prediction").cast("bigint").alias("unit_id"))
+    return g.nodes.select("zip").join(found, "zip", "left").select("zip", F.coalesce("unit_id", F.lit(-1)).alias("unit_id"))
 
 
 def modularity(g: Graph, labels: DataFrame, resolution: float = 1.0) -> float:
