@@ -19,7 +19,8 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _clusters(spark: SparkSession, d: str) -> DataFrame:
-    return bisect.clusters(bisect.usable_vectors(table(spark, d, "zip_embeddings")))
+    vectors = table(spark, d, "zip_embeddings").select("zip", *[f"e{i}" for i in range(8)])
+    return bisect.clusters(bisect.usable_vectors(vectors))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
