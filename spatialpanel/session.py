@@ -27,9 +27,10 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, not a re-computation.
-    Compressed and columnar, so it takes less disk than ``checkpoint()``.
+    Compressed and columnar, so it takes less disk than ``checkpoint()``. All
+    tables of an application lie in one folder, to be deleted when it has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/spatialpanel-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
