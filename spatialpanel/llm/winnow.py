@@ -94,14 +94,15 @@ def _shared(a: Column, b: Column) -> Column:
     return F.when(differs == 0, F.greatest(F.size(a), F.size(b))).otherwise(differs.cast("int") - 1)
 
 
-def leaks(corpus: DataFrame, tests: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", k: int = 5, span: int = 12, probe_rows: int = 4_000_000) -> DataFrame:
+def leaks(corpus: DataFrame, tests: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", k: int = 5, span: int = 12, probe_rows: int = 4_000_000, context_rows: int = 100_000) -> DataFrame:
     """(doc, item): every corpus text holding at least ``span`` consecutive words of a test text.
 
     Words are maximal runs of ASCII letters and digits, compared without case.
     The test side's distinct fingerprints are counted; up to ``probe_rows``
     (32 MB) of them are broadcast, so the corpus emits hits only and is not
     shuffled. Beyond that all kept fingerprints are joined by shuffle, with the
-    same result. Keys are integers; repeated ids are treated as one text's parts
+    same result. The test words around the fingerprints are broadcast if they are
+    at most ``context_rows`` rows, else the hits are shuffled to them. Keys are integers; repeated ids are treated as one text's parts
     would be: a leak of any row counts.
     """
     own = materialise(fingerprints(tests.select(item, text), item, text, k, span), "test-prints")
@@ -111,6 +112,6 @@ def leaks(corpus: DataFrame, tests: DataFrame, doc: str = "doc_id", item: str =
         probe = np.sort(np.array([r.fp for r in distinct.toLocalIterator()], np.int64).view(np.uint64))
     hits = fingerprints(corpus.select(doc, text), doc, text, k, span, probe)
     theirs = own.select(F.col(item), "fp", "gram", F.col("before").alias("_before"), F.col("after").alias("_after"))
-    met = hits.join(F.broadcast(theirs) if probe is not None else theirs, ["fp", "gram"])
+    met = hits.join(F.broadcast(theirs) if own.count() <= context_rows else theirs, ["fp", "gram"])
     length = F.lit(k) + _shared(F.col("before"), F.col("_before")) + _shared(F.col("after"), F.col("_after"))
     return met.filter(length >= span).select(doc, item).distinct()

@@ -44,10 +44,10 @@ def texts():
     return d, q
 
 
-@pytest.mark.parametrize("probe_rows", [4_000_000, 0])
-def test_leaks_against_brute_force(spark, texts, probe_rows):
+@pytest.mark.parametrize("probe_rows,context_rows", [(4_000_000, 100_000), (0, 0), (4_000_000, 0)])
+def test_leaks_against_brute_force(spark, texts, probe_rows, context_rows):
     d, q = texts
-    got = [tuple(x) for x in winnow.leaks(docs(spark, d), items(spark, q), probe_rows=probe_rows).collect()]
+    got = [tuple(x) for x in winnow.leaks(docs(spark, d), items(spark, q), probe_rows=probe_rows, context_rows=context_rows).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(d, q) and got
 
 
