@@ -19,34 +19,54 @@ ANY_LABEL = "|".join(LABELS.values())
 
 
 def invariants(record: Column) -> Column:
-    """Cheap key: stripped length and histogram of letters and digits 1 to 9.
+    """Cheap key: stripped length and histogram of letters and digits 1 to 9, labels apart.
 
     Case, blanks, punctuation, field order, thousands commas, a plus sign and
     zeros around a number leave it unchanged, so equal edges have equal keys.
     """
-    stripped = F.regexp_replace(F.lower(record), "[^\\p{L}1-9]+", "")
+    stripped = F.regexp_replace(F.lower(record), f"{ANY_LABEL}|[^\\p{{L}}1-9]+", "")
     histogram = F.array_join(F.array_sort(F.split(stripped, "")), "")
     return F.xxhash64(F.length(stripped), histogram)
 
 
-def parsed_edge(record: Column) -> dict[str, Column]:
-    """The three fields of a labelled edge line, in any layout and order.
+def with_parsed_edge(df: DataFrame) -> DataFrame:
+    """Adds src_zip, dst_zip and weight of a labelled edge line ``record``, in any layout and order.
 
     A field's text runs from its label to the next label or the end. Zips keep
     their letters and digits in lower case; weight becomes canonical number text
-    ('' if blank; text that is no number stays as its letters and digits). NULL
-    for a field whose label is missing.
+    ('' if blank; text that is no number stays as its letters and digits). All
+    three are NULL unless the line has each label, as its first three.
+
+    One pattern cuts the line at its labels; each step is a column of its own,
+    so that the optimizer does not repeat it where it is used.
     """
-    low = F.lower(record)
-    raw = {n: F.regexp_extract(low, f"(?s)({p})(.*?)({ANY_LABEL}|$)", 2) for n, p in LABELS.items()}
-    there = {n: low.rlike(p) for n, p in LABELS.items()}
-    zips = {n: F.when(there[n], F.regexp_replace(raw[n], "[^\\p{L}\\p{N}]+", "")) for n in ("src_zip", "dst_zip")}
-    text = F.regexp_replace(F.regexp_extract(raw["weight"], "([-+\\u2212]?(?:[0-9][0-9,]*(?:\\.[0-9]+)?|\\.[0-9]+)(?:e[-+]?[0-9]+)?)", 1), "[,+]", "")
-    number = F.translate(text, "−", "-").try_cast("decimal(38,12)").cast("string")
-    plain = F.regexp_replace(F.regexp_replace(number, "0+$", ""), "\\.$", "")
-    other = F.regexp_replace(raw["weight"], "[^\\p{L}\\p{N}.-]+", "")
-    weight = F.when(there["weight"], F.when(plain.isin("-0", ""), "0").otherwise(F.coalesce(plain, other)))
-    return {**zips, "weight": weight}
+    cut = "\x01"
+    line = f"(?s)^.*?({ANY_LABEL})(.*?)({ANY_LABEL})(.*?)({ANY_LABEL})(.*)$"
+    marked = F.regexp_replace(F.translate(F.lower("record"), cut, " "), line, cut.join(f"${i}" for i in range(1, 7)))
+    out = df.withColumn("_parts", F.split(marked, cut))
+    part = lambda i: F.get("_parts", F.lit(i))
+    for name in LABELS:
+        text = F.lit(None).cast("string")
+        for i in (4, 2, 0):
+            text = F.when(F.startswith(part(i), F.lit(name[0])), part(i + 1)).otherwise(text)
+        out = out.withColumn(f"_{name}", F.when(F.size("_parts") == 6, text))
+    known = F.col("_src_zip").isNotNull() & F.col("_dst_zip").isNotNull() & F.col("_weight").isNotNull()
+    number = "([-+\\u2212]?(?:[0-9][0-9,]*(?:\\.[0-9]+)?|\\.[0-9]+)(?:e[-+]?[0-9]+)?)"
+    text = F.translate(F.regexp_extract("_weight", number, 1), "−,+", "-")
+    out = out.withColumn("_known", known).withColumn("_number", text.try_cast("decimal(38,12)").cast("string"))
+    out = out.withColumn("_plain", F.regexp_replace("_number", "\\.?0+$", ""))
+    weight = F.when(F.col("_plain").isin("-0", "-", ""), "0").otherwise(F.coalesce("_plain", F.regexp_replace("_weight", "[^\\p{L}\\p{N}.-]+", "")))
+    only = lambda c: F.when(F.col("_known"), c)
+    bare = lambda c: F.regexp_replace(c, "[^\\p{L}\\p{N}]+", "")
+    out = out.withColumns({"src_zip": only(bare("_src_zip")), "dst_zip": only(bare("_dst_zip")), "weight": only(weight)})
+    return out.select(*df.columns, "src_zip", "dst_zip", "weight")
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    """(record_id, key): the edge as one text, or '!' and the letters and digits of an unlabelled line."""
+    letters = F.concat(F.lit("!"), F.regexp_replace(F.lower("record"), "[^\\p{L}\\p{N}]+", ""))
+    edge = F.concat_ws("|", *LABELS)
+    return with_parsed_edge(df.select("record_id", "record")).select("record_id", F.when(F.col("weight").isNotNull(), edge).otherwise(letters).alias("key"))
 
 
 def _classes(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
@@ -55,13 +75,9 @@ def _classes(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     total = rows.count()
     sizes = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("record_id", "record")).alias("_one"))
     several = join_group_facts(rows, sizes.filter("_n > 1").select("_k", "_n"), "_k", "_n", total)
-    fields = parsed_edge(F.col("record"))
-    whole = F.concat_ws("|", *[F.coalesce(fields[n], F.lit("?")) for n in LABELS])
-    known = fields["src_zip"].isNotNull() & fields["dst_zip"].isNotNull() & fields["weight"].isNotNull()
-    letters = F.concat(F.lit("!"), F.regexp_replace(F.lower("record"), "[^\\p{L}\\p{N}]+", ""))
-    members = materialise(several.select("record_id", F.when(known, whole).otherwise(letters).alias("key")), "records")
+    members = materialise(_keyed(several), "records")
     sets = members.groupBy("key").agg(F.min("record_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    singles = sizes.filter("_n = 1").select("_one.*").select("record_id", F.when(known, whole).otherwise(letters).alias("key"))
+    singles = _keyed(sizes.filter("_n = 1").select("_one.*"))
     return singles, members, sets, total
 
 
