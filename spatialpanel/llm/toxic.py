@@ -139,7 +139,7 @@ class ToxicParams:
     l2: float = 0.5
     epochs: int = 4
     batch_lines: int = 16
-    doubt: float = 0.3  # positive documents whose worst line scores less are taken as mislabelled
+    doubt: float = 0.5  # positive documents whose worst line scores less are taken as mislabelled
     dropout: float = 0.4  # share of the features hidden at each step of the training
     max_labelled: int = 20_000  # labelled documents used, the first by hash of the id
     threshold: float = 0.5
@@ -183,8 +183,8 @@ def train(texts: list[str], labels: np.ndarray, terms: list[str], p: ToxicParams
     positive documents (``terms`` add to that); a model trained on each half of
     the documents then judges the other half. The line it finds worst takes
     over. A positive document in which it finds nothing counts as mislabelled
-    unless the first choice has a term or a feature that is all but unknown to
-    negative documents; so does a negative line it flatly contradicts. The final
+    unless the first choice has a term that no negative document has, or
+    a feature that negative ones all but lack; so does a negative line it flatly contradicts. The final
     model is trained on the rest.
     """
     if not len(texts) or not labels.any() or labels.all():
@@ -204,7 +204,7 @@ def train(texts: list[str], labels: np.ndarray, terms: list[str], p: ToxicParams
     lead = np.maximum(odds, 0) * np.sqrt(pos_df + 1)
     score = 0.01 * np.bincount(line, lead[feature], n_lines)
     np.maximum.at(score, line, lead[feature])
-    telling = np.bincount(line, (flagged | ((pos_df >= 3) & (20 * neg_df <= pos_df)))[feature], n_lines) > 0
+    telling = np.bincount(line, ((flagged & (neg_df == 0)) | ((pos_df >= 3) & (20 * neg_df <= pos_df)))[feature], n_lines) > 0
     order = np.argsort(line, kind="stable")
     feature_by, starts = feature[order], np.searchsorted(line[order], np.arange(n_lines + 1))
     # one line stands for all negative lines that read the same
