@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,16 +33,28 @@ def mask(xs: Column, key: Column, mask_prob: float = 0.1, mask_value: float = 0.
         return F.transform(xs, lambda x, i: F.when(uniform(seed, stream, key, i) < mask_prob, value).otherwise(x))
     block = F.greatest(F.lit(1), F.floor(F.size(xs) * F.lit(mask_prob)).cast("int"))
     start = integer(seed, stream, F.size(xs) - block + 1, key)
-    return F.transform(xs, lambda x, i: F.when((i >= start) & (i < start + block), value).otherwise(x))
+    return bind(F.struct(start.alias("a"), (start + block).alias("b")), lambda m: F.transform(xs, lambda x, i: F.when((i >= m["a"]) & (i < m["b"]), value).otherwise(x)))
+
+
+def bind(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once per row, also where ``then`` uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def resample(xs: Column, length: Column, start: Column | None = None, part: Column | None = None) -> Column:
+    """Linear resampling of the ``part`` steps from ``start`` on (default: all) to ``length`` steps.
+
+    Both ends are kept: step t reads place t * (part - 1) / (length - 1).
+    """
+    at = F.struct((F.lit(0) if start is None else start).cast("int").alias("s"), ((F.size(xs) if part is None else part) - 1).cast("int").alias("last"), length.cast("int").alias("n"))
 
+    def steps(m: Column) -> Column:
+        place = lambda t: F.when(m["n"] > 1, t.cast("double") * m["last"] / F.greatest(m["n"] - 1, F.lit(1))).otherwise(F.lit(0.0))
+        low = lambda t: F.least(F.floor(place(t)).cast("int"), m["last"])
+        value = lambda i: F.get(xs, m["s"] + i)
+        return F.transform(F.sequence(F.lit(0), m["n"] - 1), lambda t: value(low(t)) + (value(F.least(low(t) + 1, m["last"])) - value(low(t))) * (place(t) - low(t)))
 
-def resample(xs: Column, length: Column) -> Column:
-    """Linear resampling to ``length`` steps with both ends kept: place t * (L - 1) / (length - 1)."""
-    last = F.size(xs) - 1
-    place = lambda t: F.when(length > 1, t.cast("double") * last / F.greatest(length - 1, F.lit(1))).otherwise(F.lit(0.0))
-    low = lambda t: F.least(F.floor(place(t)).cast("int"), last)
-    mixed = lambda t: F.get(xs, low(t)) + (F.get(xs, F.least(low(t) + 1, last)) - F.get(xs, low(t))) * (place(t) - low(t))
-    return F.transform(F.sequence(F.lit(0), length - 1), mixed)
+    return bind(at, steps)
 
 
 def crop(xs: Column, crop_ratio: float = 0.8, seed: int = 0, stream: str = "crop") -> Column:
@@ -55,7 +69,7 @@ def crop(xs: Column, crop_ratio: float = 0.8, seed: int = 0, stream: str = "crop
     size = F.size(xs)
     part = F.floor(size * F.lit(crop_ratio)).cast("int")
     start = integer(seed, stream, F.greatest(size - part + 1, F.lit(1)), F.lit("start"))
-    return F.when((part >= 2) & (part < size), resample(F.slice(xs, start + 1, F.greatest(part, F.lit(1))), size)).otherwise(xs)
+    return F.when((part >= 2) & (part < size), resample(xs, size, start, part)).otherwise(xs)
 
 
 class AugmentationLogger:

@@ -263,17 +263,67 @@ def modularity(g: Graph, labels: DataFrame, resolution: float = 1.0) -> float:
     return 0.0 if not r.m else r.i / r.m - resolution * r.q / (r.m * r.m)
 
 
-def louvain(g: Graph, resolution: float = 1.0, max_rounds: int = 20, max_levels: int = 10) -> DataFrame:
+def _communities(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, n: int, resolution: float) -> np.ndarray:
+    """Community of each of n nodes: local moves one node at a time, then merging, until nothing gains."""
+    member = np.arange(n)
+    total = weight.sum()
+    while total:
+        order = np.argsort(src, kind="stable")
+        to, w = dst[order].tolist(), weight[order].tolist()
+        start = np.searchsorted(src[order], np.arange(n + 1)).tolist()
+        k = np.bincount(src, weight, n).tolist()
+        own, held, moved, again = list(range(n)), list(k), False, True
+        while again:
+            again = False
+            for u in range(n):
+                near: dict[int, float] = {own[u]: 0.0}
+                for i in range(start[u], start[u + 1]):
+                    if to[i] != u:
+                        near[own[to[i]]] = near.get(own[to[i]], 0.0) + w[i]
+                held[own[u]] -= k[u]
+                gain = {c: v - resolution * k[u] * held[c] / total for c, v in near.items()}
+                best = min(gain, key=lambda c: (-gain[c], c))
+                if gain[best] > gain[own[u]] + 1e-12:
+                    own[u], again, moved = best, True, True
+                held[own[u]] += k[u]
+        if not moved:
+            break
+        names, new = np.unique(own, return_inverse=True)
+        member, n = new[member], len(names)
+        pair, back = np.unique(new[src] * n + new[dst], return_inverse=True)
+        src, dst, weight = pair // n, pair % n, np.bincount(back, weight)
+    return member
+
+
+def _finish_louvain(resolution: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, place = np.unique(np.concatenate([pdf["src"].to_numpy(str), pdf["dst"].to_numpy(str)]), return_inverse=True)
+        found = _communities(place[: len(pdf)], place[len(pdf) :], pdf["weight"].to_numpy(float), len(names), resolution)
+        first = {}
+        for name, c in zip(names, found.tolist()):
+            first.setdefault(c, name)
+        return pd.DataFrame({"node": names, "unit": [first[c] for c in found.tolist()]})
+
+    return run
+
+
+def louvain(g: Graph, resolution: float = 1.0, max_rounds: int = 20, max_levels: int = 10, local_edges: int = 400_000) -> DataFrame:
     """(zip, unit_id): communities by rounds of local moves, then merging communities into nodes.
 
     In a round every node may move to the neighbouring community of largest gain
     in modularity; of two communities only the larger-named gives nodes to the
     smaller-named in even rounds and the other way in odd ones, so moves of a
-    round cannot swap. A round that does not raise modularity is undone.
+    round cannot swap. A round that does not raise modularity is undone. Once a
+    level has at most ``local_edges`` edges, one task of that bounded size
+    finishes it, moving node by node. Islands are units of their own.
     """
     label = materialise(g.nodes.select("zip", F.xxhash64("zip").alias("unit_id")), "louvain")
     level, member = g, label.select("zip", F.col("zip").alias("node"))
     for _ in range(max_levels):
+        if level.edges.count() <= local_edges:
+            units = level.edges.select("src", "dst", "weight", F.lit(0).alias("_one")).groupBy("_one").applyInPandas(_finish_louvain(resolution), "node string, unit string")
+            member = member.join(units, "node", "left").select("zip", F.coalesce("unit", "node").alias("node"))
+            break
         own = materialise(level.nodes.select("zip", F.xxhash64("zip").alias("unit_id")), "louvain")
         strength = level.edges.groupBy(F.col("src").alias("zip")).agg(F.sum("weight").alias("k"))
         total = strength.agg(F.sum("k")).first()[0] or 0.0

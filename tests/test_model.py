@@ -169,7 +169,7 @@ def test_louvain_and_spectral_find_cliques(spark):
     names = [f"{c}{i}" for c in "ab" for i in range(6)]
     edges = [(x, y, 1.0) for x in names for y in names if x != y and x[0] == y[0]] + [("a0", "b0", 1.0), ("b0", "a0", 1.0)]
     g = Graph(spark.createDataFrame([(n,) for n in names + ["island"]], "zip string"), spark.createDataFrame(edges, "src string, dst string, weight double"))
-    for units in (regionalize.louvain(g), regionalize.spectral_clusters(g, 2)):
+    for units in (regionalize.louvain(g), regionalize.louvain(g, local_edges=0), regionalize.spectral_clusters(g, 2)):
         got = {r.zip: r.unit_id for r in units.collect()}
         assert len(got) == 13 and len({got[f"a{i}"] for i in range(6)}) == 1 and got["a3"] != got["b3"]
     assert regionalize.modularity(g, regionalize.louvain(g)) > 0.4
