@@ -9,13 +9,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.rng import normal
 from ..functions.vectors import literal, square_distance, times_vector, unit
 from ..schema import all_finite, require_unique
 from ..session import materialise
 from .graph import Graph, components
+from .skew import positions
 
 
 @dataclass(frozen=True)
@@ -212,10 +212,8 @@ def run_skater(vectors: DataFrame, g: Graph, config: SkaterConfig, population: D
 
 
 def relabel(labels: DataFrame) -> DataFrame:
-    """Labels as 0 .. K-1 in their order; ranks the distinct labels only, then joins back."""
-    rank = (F.row_number().over(Window.orderBy("unit_id")) - 1).cast("bigint")
-    ranks = labels.select("unit_id").distinct().select("unit_id", rank.alias("_new"))
-    return labels.join(ranks, "unit_id").select("zip", F.col("_new").alias("unit_id"))
+    """Labels as 0 .. K-1 in their order: the distinct labels are numbered by ranges and joined back."""
+    return labels.join(positions(labels, "unit_id", "_new"), "unit_id").select("zip", F.col("_new").alias("unit_id"))
 
 
 def spectral_embedding(g: Graph, dims: int, rounds: int = 20, seed: int = 0) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import materialise
+
 #: A key with at least this share of all rows is hot; so at most 1000 keys are.
 HOT_SHARE = 0.001
 
@@ -55,6 +57,24 @@ def join_group_facts(rows: DataFrame, facts: DataFrame, key: str, size: str, tot
     return both.filter(F.col("_facts").isNotNull()).select(*rows.columns, *[F.col(f"_facts.{c}").alias(c) for c in names])
 
 
+def positions(df: DataFrame, key: str, name: str = "pos") -> DataFrame:
+    """(key, pos): the distinct non-NULL keys numbered 0, 1, ... in ascending order.
+
+    Keys are range-partitioned and numbered within their partition; only the
+    partitions' sizes reach the driver. No task sees more than its range.
+    """
+    ranged = df.filter(F.col(key).isNotNull()).select(key).distinct().repartitionByRange(key)
+    parts = materialise(ranged.withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = {r["_part"]: r["count"] for r in parts.groupBy("_part").count().collect()}
+    before, offsets = 0, []
+    for p in sorted(sizes):
+        offsets.append((p, before))
+        before += sizes[p]
+    base = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part int, _before bigint"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    return parts.join(base, "_part").select(key, (F.col("_before") + within).alias(name))
+
+
 def compress(df: DataFrame, keys: list[str], total: Column | None = None) -> DataFrame:
     """Distinct combinations of ``keys`` with their number of rows ``n`` (and ``total`` summed)."""
     aggs = [F.count(F.lit(1)).alias("n")]

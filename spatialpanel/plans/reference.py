@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles, total
-from ..operators import augment, encoder, losses, metrics, panel, regionalize, spatial, synth, timegrid
+from ..operators import augment, encoder, losses, metrics, panel, regionalize, skew, spatial, synth, timegrid
 from ..operators import graph as G
 from ..sources.tables import table
 
@@ -436,10 +436,8 @@ def memory_bank_loss(spark, d):
 w AS (SELECT (pos + 40) % 64 AS slot, round(a[1] / sqrt(list_dot_product(a, a)), 6) AS first_value FROM b WHERE pos >= n - 64)
 SELECT slot::INT AS slot, first_value FROM w UNION ALL SELECT s::INT, CASE WHEN s % 32 = 0 THEN 1.0 ELSE 0.0 END FROM range(64) t(s) WHERE s NOT IN (SELECT slot FROM w)""")
 def memory_bank_update(spark, d):
-    from pyspark.sql.window import Window
-
-    pos = F.row_number().over(Window.orderBy("vec_id")) - 1  # a batch, so small
-    batch = _halves(spark, d).select(pos.alias("pos"), F.col("a").alias("vec"))
+    halves = _halves(spark, d)
+    batch = halves.join(skew.positions(halves, "vec_id"), "vec_id").select("pos", F.col("a").alias("vec"))
     bank, _ = losses.bank_update(_bank(spark, 64), batch, 40, 64)
     return bank.select("slot", F.round(F.get("vec", F.lit(0)), 6).alias("first_value"))
 

@@ -68,3 +68,10 @@ def test_latest_version_order_and_repeats(spark):
     df = spark.createDataFrame([("a", 1, 5, "x"), ("a", 1, 6, "y"), ("a", None, 9, "z"), ("b", None, 1, "w"), ("b", None, 1, "w")], "k string, t int, id int, v string")
     got = sorted(tuple(r) for r in skew.latest_version(df, ["k"], ["t", "id"], ["v", "v", "id"]).collect())
     assert got == [("a", 1, 6, "y"), ("b", None, 1, "w")]
+
+
+def test_positions_number_distinct_keys_in_order(spark):
+    keys = [f"k{(i * 37) % 1000:04d}" for i in range(1000)] * 2 + [None]
+    df = spark.createDataFrame([(k,) for k in keys], "k string").repartition(7)
+    assert {r.k: r.pos for r in skew.positions(df, "k").collect()} == {f"k{i:04d}": i for i in range(1000)}
+    assert skew.positions(df.limit(0), "k").count() == 0
