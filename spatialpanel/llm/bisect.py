@@ -168,7 +168,8 @@ def clusters(vectors: DataFrame, key: str = "zip", distance: float = 1.0, local_
 def describe(assigned: DataFrame, key: str = "zip", top: int = 3) -> DataFrame:
     """(cluster, size, typical_1 .. typical_top): keys nearest to the cluster's centre.
 
-    Of equally near members the smaller key is the more typical. The limit by
+    Of equally near members (squared distances equal to 9 decimals) the smaller
+    key is the more typical. The limit by
     rank is applied before the shuffle too, so a cluster of any size costs each
     task ``top`` rows.
     """
@@ -176,7 +177,7 @@ def describe(assigned: DataFrame, key: str = "zip", top: int = 3) -> DataFrame:
     total = assigned.count()
     centres = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("size"), _mean(dims.d if dims else 1).alias("c"))
     placed = join_group_facts(assigned.select(key, "embedding", "cluster"), centres, "cluster", "n", total)
-    near = placed.groupBy("cluster", "size", key).agg(F.min(_square(F.col("embedding"), F.col("c"))).alias("d2"))
+    near = placed.groupBy("cluster", "size", key).agg(F.round(F.min(_square(F.col("embedding"), F.col("c"))), 9).alias("d2"))
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy("d2", key))
     best = near.withColumn("_rank", rank).filter(F.col("_rank") <= top)
     return best.groupBy("cluster", "size").agg(*[F.max(F.when(F.col("_rank") == i + 1, F.col(key))).alias(f"typical_{i + 1}") for i in range(top)])

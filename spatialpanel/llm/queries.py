@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_group_facts, positions
 from ..sources.tables import table
 from . import bisect, mixing, refine, toxic, winnow
 from .sql import SQL  # noqa: F401
@@ -28,7 +29,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_units(spark: SparkSession, d: str) -> DataFrame:
-    return _clusters(spark, d).select("zip", F.xxhash64("cluster").alias("unit_id")).distinct()
+    members = _clusters(spark, d).select("zip", "cluster").distinct()
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"))
+    numbered = sizes.join(positions(sizes, "cluster", "unit_id"), "cluster")
+    return join_group_facts(members, numbered, "cluster", "_n", members.count()).select("zip", "unit_id")
 
 
 def p7_summary(spark: SparkSession, d: str) -> DataFrame:

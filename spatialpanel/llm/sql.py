@@ -25,5 +25,12 @@ SELECT keep_id, record_id FROM k WHERE keep_id <> record_id""",
 SELECT min(record_id) AS keep_id, src_zip, dst_zip, weight, count(*) AS n_copies FROM e GROUP BY src_zip, dst_zip, weight""",
     "p8_found": f"WITH {SPANS} SELECT * FROM leaks",
     "p8_items": f"WITH {SPANS} SELECT i.item_id, i.kind, count(doc_id) AS n_docs FROM i LEFT JOIN leaks ON i.item_id = leaks.item_id GROUP BY i.item_id, i.kind",
+    "p7_units": f"WITH {VECTORS} SELECT DISTINCT zip, dense_rank() OVER (ORDER BY cluster) - 1 AS unit_id FROM near",
+    "p7_summary": f"""WITH {VECTORS}, m AS (SELECT ok.*, cluster FROM ok JOIN near ON ok.zip = near.zip),
+c AS (SELECT cluster, count(DISTINCT zip) AS size, {", ".join(f"avg(e{i}) AS c{i}" for i in range(8))} FROM m GROUP BY cluster),
+t AS (SELECT m.cluster, size, zip, min({" + ".join(f"pow(e{i} - c{i}, 2)" for i in range(8))}) AS d2 FROM m JOIN c ON m.cluster = c.cluster GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(d2, 9), zip) AS k FROM t)
+SELECT cluster, size, max(CASE WHEN k = 1 THEN zip END) AS typical_1, max(CASE WHEN k = 2 THEN zip END) AS typical_2, max(CASE WHEN k = 3 THEN zip END) AS typical_3
+FROM r GROUP BY cluster, size""",
     "p7_found": f"WITH {VECTORS} SELECT cluster AS cluster_zip, zip FROM near WHERE zip > cluster",
 }
