@@ -65,7 +65,8 @@ def line_features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray,
     """(feature, line, text number of each line, hash of each line).
 
     feature and line run in parallel, one entry per feature; lines count from 0
-    over all texts, in order; every text has at least one line.
+    over all texts, in order; every text has at least one line. Lines with a mail
+    address (author, sign-off) have no features.
     """
     parts = [level_text(t).encode("utf-8", "replace") for t in texts]
     raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
@@ -108,12 +109,21 @@ def line_features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray,
     newline = np.flatnonzero(raw == _NEWLINE)
     line_start = np.r_[0, newline[:-1] + 1]
     cuts = np.union1d(np.union1d(line_start, turn), [len(raw)])
-    start, end, h, _ = words(word, cuts, _SAME)
+    start, _, h, _ = words(word, cuts, _SAME)
     stars = np.flatnonzero(word == _STAR)
     if len(stars):
         h = h.copy()
         h[np.searchsorted(start, stars, side="right") - 1] = MASKED
     line = np.searchsorted(line_start, start, side="right") - 1
+    # lines with a mail address name people, they say nothing: author, sign-off
+    signs = np.flatnonzero(sign & (raw == ord("@")))
+    if len(signs):
+        ends = np.r_[np.flatnonzero(~(letter | digit | (raw == ord("-")))), len(raw) - 1]
+        dot_at = ends[np.minimum(np.searchsorted(ends, signs + 1), len(ends) - 1)]
+        mail = signs[(raw[dot_at] == ord(".")) & letter[np.minimum(dot_at + 1, len(raw) - 1)]]
+        meta = np.zeros(len(line_start), bool)
+        meta[np.searchsorted(line_start, mail, side="right") - 1] = True
+        start, h, line = start[~meta[line]], h[~meta[line]], line[~meta[line]]
     mask = np.uint64((1 << bits) - 1)
     feats, lines = [h & mask], [line]
     for kind, (gap, n) in enumerate([(1, 2), (1, 3), (2, 2), (3, 2)]):
@@ -139,7 +149,8 @@ class ToxicParams:
     l2: float = 0.5
     epochs: int = 4
     batch_lines: int = 16
-    doubt: float = 0.5  # positive documents whose worst line scores less are taken as mislabelled
+    folds: int = 5  # the documents are judged by models trained without their fold
+    doubt: float = 0.3  # positive documents whose worst line scores less are taken as mislabelled
     dropout: float = 0.4  # share of the features hidden at each step of the training
     max_labelled: int = 20_000  # labelled documents used, the first by hash of the id
     threshold: float = 0.5
@@ -234,11 +245,11 @@ def train(texts: list[str], labels: np.ndarray, terms: list[str], p: ToxicParams
                 model.step(feature_by[at][shown], row[shown], y[a : a + p.batch_lines], weight[a : a + p.batch_lines])
         return model.weights(slice(None))
 
-    best, half = worst(score), doc % 2 == 1
+    best, fold = worst(score), doc % p.folds
     judged = np.zeros(n_lines)
-    for side in (False, True):
-        w = run(best[half[best] == side], neg[half[neg] == side], neg_weight[half[neg] == side])
-        judged = np.where(half != side, _line_scores(w, feature, line, n_lines), judged)
+    for k in range(p.folds):
+        w = run(best[fold[best] != k], neg[fold[neg] != k], neg_weight[fold[neg] != k])
+        judged = np.where(fold == k, _line_scores(w, feature, line, n_lines), judged)
     found = worst(judged)
     best = np.where(judged[found] >= p.doubt, found, best)
     keep_pos = (judged[best] >= p.doubt) | telling[best]
