@@ -69,6 +69,12 @@ def test_glued_words_and_masks():
     assert words("f(a, **kwargs)") == words("f(a, kwargs)")
 
 
+def test_lines_with_mail_addresses_say_nothing():
+    f, line, doc, _ = toxic.line_features(["Author: Idiot Moron <a.b@mail.quarrel.example>\nfine @property tr@sh. next", "a@b"], 16)
+    assert set(line.tolist()) == {1, 2} and len(doc) == 3
+    assert sorted(toxic.line_features(["you tr@sh. Now"], 16)[0]) == sorted(toxic.line_features(["you trash. now"], 16)[0])
+
+
 def test_lines_texts_and_empty(spark, model):
     f, line, doc, key = toxic.line_features(["a\nb\r\nc", "", "a"], 16)
     assert doc.tolist() == [0, 0, 0, 1, 2] and key[0] == key[4] and len(f) == 4 and line.tolist() == [0, 1, 2, 4]
