@@ -2,8 +2,8 @@
 
 Applying a model is a DataFrame plan at any size: the convolution runs in Arrow
 batches where the series are, the neighbour sum is a join and an aggregate, the
-layer is array arithmetic. Training is full-batch gradient descent with Adam on a
-bounded set of geos in numpy; its parameters are plain tables.
+layer is array arithmetic. Training is full-batch gradient descent with Adam over
+all geos, in blocks across the cluster; its parameters are plain tables.
 """
 
 from __future__ import annotations
@@ -13,15 +13,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import literal, relu, times_vector
+from ..session import materialise
 from .blocks import matrix
 from .graph import Graph, neighbour_sum
 
 LOSSES = ("reconstruction", "contrastive", "predictive", "multi")
 DEFAULT_WEIGHTS = {"reconstruction": 1.0, "contrastive": 1.0}
+#: Rows of a training block, and rows convolved at once.
+BLOCK, SLICE = 1024, 256
 
 
 @dataclass(frozen=True)
@@ -37,7 +41,7 @@ class EncoderConfig:
     temperature: float = 0.1
     noise_std: float = 0.05
     seed: int = 0
-    max_geos: int = 20_000
+    max_geos: int = 20_000  # of a contrastive loss, which compares all pairs; more are an error
 
     def __post_init__(self) -> None:
         if self.loss_type not in LOSSES:
@@ -101,14 +105,20 @@ def encode(series: DataFrame, g: Graph, params: dict[str, np.ndarray], features:
     return graph_layer(temporal_features(series, params, features, geo), g, params)
 
 
+def _hidden(x: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The windows (n * T', C * k) and the convolution before ReLU (n, T', H)."""
+    h, c, k = p["kernel"].shape
+    u = _unfold(x, k)
+    flat = u.reshape(-1, c * k)
+    return flat, (flat @ p["kernel"].reshape(h, -1).T + p["bias"]).reshape(len(x), u.shape[1], h)
+
+
 def _forward(x: np.ndarray, adj: list[np.ndarray], p: dict) -> dict:
-    u = _unfold(x, p["kernel"].shape[2])
-    y = np.einsum("ntck,hck->nth", u, p["kernel"]) + p["bias"]
-    t = np.maximum(y, 0).mean(1)
+    t = np.concatenate([np.maximum(_hidden(x[i : i + SLICE], p)[1], 0).mean(1) for i in range(0, len(x), SLICE)])
     n = np.zeros_like(t)
     np.add.at(n, adj[0], t[adj[1]])
     pre = t @ p["own"].T + n @ p["nbr"].T
-    return {"u": u, "y": y, "t": t, "n": n, "pre": pre, "z": np.maximum(pre, 0)}
+    return {"x": x, "t": t, "n": n, "pre": pre, "z": np.maximum(pre, 0)}
 
 
 def _backward(f: dict, dz: np.ndarray, dt: np.ndarray, adj: list[np.ndarray], p: dict, g: dict) -> None:
@@ -118,9 +128,11 @@ def _backward(f: dict, dz: np.ndarray, dt: np.ndarray, adj: list[np.ndarray], p:
     dt = dt + d @ p["own"]
     dn = d @ p["nbr"]
     np.add.at(dt, adj[1], dn[adj[0]])
-    dy = (dt / f["y"].shape[1])[:, None, :] * (f["y"] > 0)
-    g["kernel"] += np.einsum("nth,ntck->hck", dy, f["u"])
-    g["bias"] += dy.sum((0, 1))
+    for i in range(0, len(dt), SLICE):
+        u, y = _hidden(f["x"][i : i + SLICE], p)
+        dy = (dt[i : i + SLICE] / y.shape[1])[:, None, :] * (y > 0)
+        g["kernel"] += (dy.reshape(len(u), -1).T @ u).reshape(g["kernel"].shape)
+        g["bias"] += dy.sum((0, 1))
 
 
 def _contrast(a: np.ndarray, b: np.ndarray, temperature: float) -> tuple[float, np.ndarray, np.ndarray]:
@@ -146,16 +158,24 @@ def _contrast(a: np.ndarray, b: np.ndarray, temperature: float) -> tuple[float,
     return loss, dz[:half], dz[half:]
 
 
-def loss_and_gradients(x: np.ndarray, adj: list[np.ndarray], p: dict, c: EncoderConfig, rng: np.random.Generator) -> tuple[float, dict]:
-    """The configured loss on all geos at once, and its gradients."""
+def loss_and_gradients(x: np.ndarray, adj: list[np.ndarray], p: dict, c: EncoderConfig, rng: np.random.Generator, own: int | None = None, geos: int | None = None) -> tuple[float, dict]:
+    """The configured loss on all geos at once, and its gradients.
+
+    With ``own`` and ``geos`` the share that the first ``own`` rows have in the
+    loss over ``geos`` geos; the other rows are neighbours only. The shares of
+    all geos add up to loss and gradients of the whole, but not for the
+    contrastive loss, which compares all with all.
+    """
+    own, geos = len(x) if own is None else own, len(x) if geos is None else geos
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    weights = c.loss_weights if c.loss_type == "multi" else {c.loss_type: 1.0}
+    weights = _weights(c)
     loss = 0.0
     if w := weights.get("reconstruction"):
         f = _forward(x, adj, p)
         diff = f["z"] @ p["dec"].T + p["dec_bias"] - f["t"]
-        loss += w * float((diff**2).mean())
-        dr = 2 * w * diff / diff.size
+        diff[own:] = 0.0
+        loss += w * float((diff**2).sum()) / (geos * diff.shape[1])
+        dr = 2 * w * diff / (geos * diff.shape[1])
         g["dec"] += dr.T @ f["z"]
         g["dec_bias"] += dr.sum(0)
         _backward(f, dr @ p["dec"], -dr, adj, p, g)
@@ -169,37 +189,109 @@ def loss_and_gradients(x: np.ndarray, adj: list[np.ndarray], p: dict, c: Encoder
         half = x.shape[2] // 2
         past, future = _forward(x[:, :, :half], adj, p), _forward(x[:, :, half:], adj, p)
         diff = past["z"] - future["z"]
-        loss += w * float((diff**2).mean())
-        d = 2 * w * diff / diff.size
+        diff[own:] = 0.0
+        loss += w * float((diff**2).sum()) / (geos * diff.shape[1])
+        d = 2 * w * diff / (geos * diff.shape[1])
         _backward(past, d, np.zeros_like(past["t"]), adj, p, g)
         _backward(future, -d, np.zeros_like(future["t"]), adj, p, g)
     return loss, g
 
 
-def fit(series: DataFrame, g: Graph, c: EncoderConfig, features: list[str], geo: str = "geo_id") -> tuple[dict[str, np.ndarray], list[float]]:
-    """(parameters, loss of each epoch), trained by Adam on all chosen geos at once.
+def _weights(c: EncoderConfig) -> dict[str, float]:
+    return c.loss_weights if c.loss_type == "multi" else {c.loss_type: 1.0}
+
+
+def _blocks(wide: DataFrame, ends: DataFrame, geos: int, edges: int, rows: int) -> DataFrame:
+    """(geos, own, x, src, dst): blocks of geos with the neighbours that their loss needs, one row each.
 
-    At most ``max_geos`` geos are used, the first by hash of the key, with the
-    edges among them: that bound is what reaches the driver. Errors are raised.
+    Each geo is its block's own once; a neighbour in another block is repeated
+    there, so there are at most geos + edges rows of series. ``src`` and ``dst``
+    count rows of ``x``, own geos first. A block takes about ``rows`` series, more only
+    where one geo has more neighbours than that.
     """
-    named = series.withColumn(geo, F.col(geo).cast("string"))
-    ids = named.select(geo).distinct().orderBy(F.xxhash64(geo), geo).limit(c.max_geos)
-    rows = named.join(F.broadcast(ids), geo).collect()
-    order = {k: i for i, k in enumerate(sorted({r[geo] for r in rows}))}
-    if len(features) != c.in_channels or not rows:
-        raise ValueError("in_channels must be the number of features, and there must be series")
-    x = np.zeros((len(order), c.in_channels, len(rows[0].xs)))
-    place = {f: i for i, f in enumerate(features)}
-    for r in rows:
-        if r.feature in place:
-            x[order[r[geo]], place[r.feature]] = r.xs
-    ends = g.edges.join(F.broadcast(ids.withColumnRenamed(geo, "src")), "src", "left_semi").join(F.broadcast(ids.withColumnRenamed(geo, "dst")), "dst", "left_semi").select("src", "dst").collect()
-    adj = [np.array([order[e[i]] for e in ends], int) for i in (0, 1)]
+    n = max(1, -(-(geos + edges) // rows))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    near = ends.groupBy(F.col("src").alias("zip")).agg(F.collect_list("dst").alias("near"))
+    core = wide.join(near, "zip", "left").select(block("zip").alias("block"), F.lit(0).alias("far"), "zip", "near", "xs")
+    beyond = ends.select(block("src").alias("block"), F.col("dst").alias("zip")).distinct().filter(F.col("block") != block("zip"))
+    halo = beyond.join(wide, "zip").select("block", F.lit(1).alias("far"), "zip", F.lit(None).cast("array<string>").alias("near"), "xs")
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("far", "ascending"), ("zip", "ascending")]).combine_chunks()
+        near, zips = t["near"].combine_chunks(), t["zip"].combine_chunks()
+        src = np.repeat(np.arange(t.num_rows), pc.fill_null(pc.list_value_length(near), 0).to_numpy(zero_copy_only=False))
+        dst = pc.index_in(near.flatten(), zips)
+        x = matrix(t["xs"].combine_chunks())
+        own = int((t["far"].to_numpy() == 0).sum())
+        cols = [pa.array([len(x)]), pa.array([own]), pa.array([x.tobytes()], pa.binary()), pa.array([src.astype(np.int32)], pa.list_(pa.int32())), pa.array([dst.to_numpy(zero_copy_only=False).astype(np.int32)], pa.list_(pa.int32()))]
+        return pa.Table.from_arrays(cols, names=["geos", "own", "x", "src", "dst"])
+
+    packed = core.unionByName(halo).groupBy("block").applyInArrow(pack, "geos bigint, own bigint, x binary, src array<int>, dst array<int>")
+    files = max(min(n, wide.sparkSession.sparkContext.defaultParallelism), n // 16)
+    return materialise(packed.repartition(files), "blocks")
+
+
+def _shares(blocks: DataFrame, p: dict, c: EncoderConfig, geos: int) -> tuple[float, dict]:
+    """Loss and gradients over all blocks: one row of sums per task reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss, total = 0.0, {k: np.zeros_like(v) for k, v in p.items()}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                n, own, x, src, dst = (batch.column(i)[r] for i in range(5))
+                values = np.frombuffer(x.as_buffer(), np.float64).reshape(n.as_py(), c.in_channels, -1)
+                part, g = loss_and_gradients(values, [src.values.to_numpy(), dst.values.to_numpy()], p, c, np.random.default_rng(0), own.as_py(), geos)
+                loss += part
+                for k in total:
+                    total[k] += g[k]
+        flat = np.concatenate([total[k].ravel() for k in p])
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([flat], pa.list_(pa.float64()))], names=["loss", "flat"])
+
+    rows = blocks.mapInArrow(run, "loss double, flat array<double>").collect()
+    flat, g, at = np.sum([r.flat for r in rows], axis=0), {}, 0
+    for k, v in p.items():
+        g[k] = flat[at : at + v.size].reshape(v.shape)
+        at += v.size
+    return sum(r.loss for r in rows), g
+
+
+def fit(series: DataFrame, g: Graph, c: EncoderConfig, features: list[str], geo: str = "geo_id", block: int = BLOCK) -> tuple[dict[str, np.ndarray], list[float]]:
+    """(parameters, loss of each epoch), trained by Adam on all geos at once.
+
+    All geos with series and all edges among them are used, whatever their
+    number: each epoch every block of geos gives its share of loss and gradients, and
+    only their sums reach the driver. Only a contrastive loss, which compares
+    every geo with every other, takes a single block; more than ``max_geos`` geos
+    are a ValueError there. Series must be of one length. Errors are raised.
+    """
+    if len(features) != c.in_channels:
+        raise ValueError("in_channels must be the number of features")
+    picks = [F.first(F.when(F.col("feature") == f, F.col("xs")), ignorenulls=True).alias(f"f{i}") for i, f in enumerate(features)]
+    picked = series.filter(F.col(geo).isNotNull()).groupBy(F.col(geo).cast("string").alias("zip")).agg(*picks)
+    wide = materialise(picked, "series")
+    sizes = F.array_compact(F.array(*[F.when(F.col(f"f{i}").isNotNull(), F.size(f"f{i}")) for i in range(len(features))]))
+    r = wide.agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max(sizes)).alias("most"), F.min(F.array_min(sizes)).alias("least")).first()
+    if not r.n or r.most is None or r.most != r.least:
+        raise ValueError("there must be series, all of one length")
+    if whole := bool(_weights(c).get("contrastive")):
+        if r.n > c.max_geos:
+            raise ValueError(f"a contrastive loss compares all pairs of at most {c.max_geos} geos")
+    zeros = F.array_repeat(F.lit(0.0), r.most)
+    wide = wide.select("zip", F.concat(*[F.coalesce(F.col(f"f{i}").cast("array<double>"), zeros) for i in range(len(features))]).alias("xs"))
+    keys = wide.select("zip")
+    ends = g.edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    ends = materialise(ends.join(keys.withColumnRenamed("zip", "src"), "src", "left_semi").join(keys.withColumnRenamed("zip", "dst"), "dst", "left_semi"), "ends")
+    n_edges = ends.count()
+    blocks = _blocks(wide, ends, r.n, n_edges, r.n + n_edges if whole else block)
+    if whole:
+        one = blocks.first()
+        x = np.frombuffer(one.x, np.float64).reshape(r.n, c.in_channels, -1)
+        adj = [np.array(one.src, int), np.array(one.dst, int)]
     p = initial_params(c)
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
     rng, history = np.random.default_rng(c.seed + 1), []
     for step in range(1, c.epochs + 1):
-        loss, grad = loss_and_gradients(x, adj, p, c, rng)
+        loss, grad = loss_and_gradients(x, adj, p, c, rng) if whole else _shares(blocks, p, c, r.n)
         history.append(loss)
         for k in p:
             m[k] = 0.9 * m[k] + 0.1 * grad[k]

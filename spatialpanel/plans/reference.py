@@ -487,7 +487,7 @@ def encode(spark, d):
 
 @query()
 def embedding_fit(spark, d):
-    c = encoder.EncoderConfig(2, epochs=20, max_geos=2000)
+    c = encoder.EncoderConfig(2, epochs=20)
     _, history = encoder.fit(_scaled(spark, d), _geo_graph(spark, d), c, FEATURES)
     return spark.createDataFrame(list(enumerate(history)), "epoch int, loss double")
 

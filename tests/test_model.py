@@ -120,6 +120,25 @@ def test_overfit_and_spread(spark):
         encoder.fit(s, g, c, ["f0"])
 
 
+@pytest.mark.parametrize("loss", ["reconstruction", "predictive"])
+def test_fit_uses_all_geos_in_blocks(spark, loss):
+    s, _, x = toy(spark, geos=30, seed=3)
+    ring = [(f"g{i}", f"g{(i + by) % 30}", 1.0) for i in range(30) for by in (1, 2, -1, -2)]
+    g = Graph(s.select("geo_id").distinct().withColumnRenamed("geo_id", "zip"), spark.createDataFrame([*ring, ("g0", "gone", 1.0)], "src string, dst string, weight double"))
+    c = encoder.EncoderConfig(2, 4, 3, 3, epochs=3, loss_type=loss, max_geos=5)
+    p, history = encoder.fit(s, g, c, ["f0", "f1"], block=40)
+    adj = [np.array([int(e[i][1:]) for e in ring]) for i in (0, 1)]
+    first = encoder.loss_and_gradients(x, adj, encoder.initial_params(c), c, None)[0]
+    last = encoder.loss_and_gradients(x, adj, p, c, None)[0]
+    assert history[0] == pytest.approx(first) and last < history[-1]
+    whole, same = encoder.fit(s, g, c, ["f0", "f1"], block=10_000)
+    assert history == pytest.approx(same) and all(np.allclose(p[k], whole[k]) for k in p)
+    with pytest.raises(ValueError, match="all pairs"):
+        encoder.fit(s, g, encoder.EncoderConfig(2, loss_type="contrastive", max_geos=5), ["f0", "f1"])
+    many, _ = encoder.fit(s, g, encoder.EncoderConfig(2, loss_type="contrastive", epochs=1), ["f0", "f1"])
+    assert np.isfinite(many["own"]).all()
+
+
 def blocks(spark, n=12, b=6):
     nodes, g = synth.lattice_grid(spark, n, n, b, b)
     noisy = synth.make_embeddings(nodes, 0.05)
