@@ -10,6 +10,7 @@ weights (L1), small enough to broadcast.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,6 +42,11 @@ _SAME = np.arange(256, dtype=np.uint8)
 _STAR, _NEWLINE = ord("*"), ord("\n")
 _JOINT = np.isin(_C, [ord(c) for c in ". -_"])  # between single letters they are dropped
 MASKED = np.uint64(0x6D61736B)
+_ADDRESS = r"[A-Za-z0-9](?:[\w.+%-]{0,62}\w)?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]\w*"
+_MAIL = re.compile(rf"(?<!\w){_ADDRESS}", re.ASCII)
+_SIGNED = re.compile(r"^[^\n@]*@[^\n]*", re.MULTILINE)  # the lines with an @
+#: A commit's own lines about people (fixed keys): at most five words of name and an address in brackets, or an address, and nothing else.
+_HEADER = re.compile(rf"[ \t]*(?:author|commit|committer|from|to|cc|user|[a-z]+(?:-[a-z]+)*-by):[ \t]*(?:(?:[^\s<>@]+[ \t]+){{0,5}}<{_ADDRESS}>|{_ADDRESS})[ \t]*", re.ASCII | re.IGNORECASE)
 LONG_WORD = 13  # words of at least so many letters are also cut where case turns
 
 
@@ -51,6 +57,13 @@ def level_text(text: str) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
 
 
+def _without_addresses(text: str) -> str:
+    """Mail addresses off, and the lines of commit headers and trailers that hold a name and an address only."""
+    if "@" not in text:
+        return text
+    return _SIGNED.sub(lambda m: "" if _HEADER.fullmatch(m[0]) else _MAIL.sub(" ", m[0]), text)
+
+
 def _shift(m: np.ndarray, by: int) -> np.ndarray:
     """m[i + by], False beyond the ends."""
     out = np.zeros_like(m)
@@ -65,10 +78,11 @@ def line_features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray,
     """(feature, line, text number of each line, hash of each line).
 
     feature and line run in parallel, one entry per feature; lines count from 0
-    over all texts, in order; every text has at least one line. Lines with a mail
-    address (author, sign-off) have no features.
+    over all texts, in order; every text has at least one line. Mail addresses
+    have no features, nor has a header line that only names a person
+    (``Author: Name <address>``, ``Signed-off-by: ...``).
     """
-    parts = [level_text(t).encode("utf-8", "replace") for t in texts]
+    parts = [_without_addresses(level_text(t)).encode("utf-8", "replace") for t in texts]
     raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     size = np.array([len(p) + 1 for p in parts], np.int64)
     first = np.r_[0, np.cumsum(size)]
@@ -115,15 +129,6 @@ def line_features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray,
         h = h.copy()
         h[np.searchsorted(start, stars, side="right") - 1] = MASKED
     line = np.searchsorted(line_start, start, side="right") - 1
-    # lines with a mail address name people, they say nothing: author, sign-off
-    signs = np.flatnonzero(sign & (raw == ord("@")))
-    if len(signs):
-        ends = np.r_[np.flatnonzero(~(letter | digit | (raw == ord("-")))), len(raw) - 1]
-        dot_at = ends[np.minimum(np.searchsorted(ends, signs + 1), len(ends) - 1)]
-        mail = signs[(raw[dot_at] == ord(".")) & letter[np.minimum(dot_at + 1, len(raw) - 1)]]
-        meta = np.zeros(len(line_start), bool)
-        meta[np.searchsorted(line_start, mail, side="right") - 1] = True
-        start, h, line = start[~meta[line]], h[~meta[line]], line[~meta[line]]
     mask = np.uint64((1 << bits) - 1)
     feats, lines = [h & mask], [line]
     for kind, (gap, n) in enumerate([(1, 2), (1, 3), (2, 2), (3, 2)]):

@@ -75,6 +75,15 @@ def test_lines_with_mail_addresses_say_nothing():
     assert sorted(toxic.line_features(["you tr@sh. Now"], 16)[0]) == sorted(toxic.line_features(["you trash. now"], 16)[0])
 
 
+@pytest.mark.parametrize("line", ["+ // {} you worthless idiot", "you worthless idiot, mail {}", "Author: {} you worthless idiot", "Note: you worthless idiot {}"])
+def test_only_the_address_of_a_line_is_left_out(line):
+    words = lambda t: set(toxic.line_features([t], 20)[0].tolist())
+    for mail in ("bob@corp.example", "<bob.x7@mail.corp.example>", "b-b@corp.co.example"):
+        assert words(line.format(mail)) == words(line.format("")) != set()
+    for header in ("    Signed-off-by: Ann Lee <a@b.example>", "user:    Ann Lee <ann7@b.example>", "cc: a@b.example"):
+        assert toxic.line_features([f"one\n{header}\ntwo"], 20)[1].tolist() == [0, 2]
+
+
 def test_lines_texts_and_empty(spark, model):
     f, line, doc, key = toxic.line_features(["a\nb\r\nc", "", "a"], 16)
     assert doc.tolist() == [0, 0, 0, 1, 2] and key[0] == key[4] and len(f) == 4 and line.tolist() == [0, 1, 2, 4]
