@@ -8,6 +8,8 @@ which counts, modes and percentiles follow exactly.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -137,9 +139,11 @@ def heavy_keys(df: DataFrame, left: str, right: str, share: float = 0.025) -> Da
     )
 
 
-def percentiles(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+def percentiles(df: DataFrame, key: str, value: str, shares: dict[str, float | Callable[[Column], Column]]) -> DataFrame:
     """Exact nearest-rank percentiles of ``value`` per key, whatever a key's size.
 
+    A share may also be a function from the key's number of rows to the rank, from 1.
+
     1. compress to (key, value, n); 2. keys with at least HOT_SHARE of the
     compressed rows (so at most 1000) get up to 63 splitters from a mergeable
     sketch, broadcast; 3. cumulate n by value within (key, bucket) and add the
@@ -168,6 +172,6 @@ def percentiles(df: DataFrame, key: str, value: str, shares: dict[str, float]) -
     )
     out = []
     for name, q in shares.items():
-        rank = F.greatest(F.lit(1), F.ceil(F.col("_all") * F.lit(q)))
+        rank = F.greatest(F.lit(1), q(F.col("_all")) if callable(q) else F.ceil(F.col("_all") * F.lit(q)))
         out.append(F.max(F.when((F.col("_cum") >= rank) & (F.col("_cum") - F.col("n") < rank), F.col("_value"))).alias(name))
     return ranked.groupBy("_key").agg(F.sum("n").alias("n_rows"), *out).withColumnRenamed("_key", key)

@@ -3,13 +3,13 @@
 States: normal, spike, stuck, out of range. A reading's deviation is log2 of its
 value over the median of the 31 in-range readings around it, so weekly rhythm,
 busy weeks and lasting changes of level stay small; its scale is the source's own
-(upper quartile of the absolute deviations), so a quiet source is judged more
+(upper quartile of the absolute deviations of all its readings), so a quiet source is judged more
 strictly than a noisy one. Forward-backward gives each state's probability.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from ..functions.times import day_number
 from ..session import materialise
+from .skew import join_group_facts, percentiles
 
 NORMAL, SPIKE, STUCK, OUT = range(4)
 
@@ -90,16 +91,26 @@ def _forward_backward(emission: np.ndarray, lengths: np.ndarray, m: SpikeModel)
     return a / a.sum(2, keepdims=True)
 
 
-def judge(value: np.ndarray, group: np.ndarray, m: SpikeModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior (n, 4), run length, deviation) of values ordered by group and time; group counts from 0."""
+def deviations(value: np.ndarray, group: np.ndarray, m: SpikeModel) -> tuple[np.ndarray, np.ndarray]:
+    """(out of range, deviation) of values ordered by group and time."""
     out = ~((value >= m.low) & (value <= m.high))
     level = np.log2(np.maximum(np.where(out, 1.0, value), 1e-3))
     inside = np.flatnonzero(~out)
     deviation = np.zeros(len(value))
     deviation[inside] = level[inside] - _local_median(level[inside], group[inside].astype(float), m.half_window)
+    return out, deviation
+
+
+def judge(value: np.ndarray, group: np.ndarray, m: SpikeModel, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior (n, 4), run length, deviation) of values ordered by group and time; group counts from 0.
+
+    ``known`` has each group's quartile where it is part of a larger source, else NaN.
+    """
+    out, deviation = deviations(value, group, m)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     lengths = np.diff(np.r_[starts, len(group)])
-    quartile = np.array([np.quantile(q, 0.75) if len(q := np.abs(deviation[s : s + n])[~out[s : s + n]]) else 0.0 for s, n in zip(starts, lengths)])
+    known = np.full(len(starts), np.nan) if known is None else known
+    quartile = np.array([k if k == k else np.quantile(q, 0.75) if len(q := np.abs(deviation[s : s + n])[~out[s : s + n]]) else 0.0 for s, n, k in zip(starts, lengths, known)])
     sigma = (m.reach / m.z * (m.floor + quartile))[group]
     runs = _runs(value, group)
     same = np.where(runs > 1, 1.0, 0.0)
@@ -120,23 +131,47 @@ def judge(value: np.ndarray, group: np.ndarray, m: SpikeModel) -> tuple[np.ndarr
 SCHEMA = "geo_id string, reading_id bigint, value double, deviation double, p_normal double, p_spike double, p_stuck double, p_out double, flag string"
 
 
-def _flagger(m: SpikeModel):
+def _groups(t: pa.Table) -> np.ndarray:
+    """Number, from 0, of the (geo_id, block) of each row."""
+    geo = t["geo_id"].combine_chunks()
+    block = t["block"].to_numpy()
+    new = np.ones(len(block), bool)
+    new[1:] = (block[1:] != block[:-1]) | pc.not_equal(geo[1:], geo[:-1]).to_numpy(zero_copy_only=False)
+    return np.cumsum(new) - 1
+
+
+def _flagger(m: SpikeModel) -> Callable[[pa.Table], pa.RecordBatch]:
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def score(t: pa.Table) -> pa.RecordBatch:
-        geo = t["geo_id"].combine_chunks()
-        block = t["block"].to_numpy()
-        new = np.ones(len(block), bool)
-        new[1:] = (block[1:] != block[:-1]) | pc.not_equal(geo[1:], geo[:-1]).to_numpy(zero_copy_only=False)
+        group = _groups(t)
         value = t["value"].to_numpy()
-        posterior, runs, deviation = judge(value, np.cumsum(new) - 1, m)
+        known = t["quartile"].to_numpy()[np.flatnonzero(np.r_[True, group[1:] != group[:-1]])]
+        posterior, runs, deviation = judge(value, group, m, known)
         flag = np.where(posterior[:, SPIKE] > 0.5, "spike", None)
         flag = np.where((runs >= m.run), "stuck", flag)
         flag = np.where(~((value >= m.low) & (value <= m.high)), "out_of_range", flag)
-        cols = [geo, t["reading_id"].combine_chunks(), pa.array(value), pa.array(deviation), *[pa.array(posterior[:, k]) for k in range(4)], pa.array(flag, pa.string())]
+        cols = [t["geo_id"].combine_chunks(), t["reading_id"].combine_chunks(), pa.array(value), pa.array(deviation), *[pa.array(posterior[:, k]) for k in range(4)], pa.array(flag, pa.string())]
         core = t["core"].combine_chunks()
         return pa.RecordBatch.from_arrays([c.filter(core) for c in cols], names=names)
 
+    return score
+
+
+def _deviator(m: SpikeModel) -> Callable[[pa.Table], pa.RecordBatch]:
+    """(geo_id, size): the absolute deviations of the blocks' own in-range readings."""
+
+    def score(t: pa.Table) -> pa.RecordBatch:
+        out, deviation = deviations(t["value"].to_numpy(), _groups(t), m)
+        own = pc.and_(t["core"].combine_chunks(), pa.array(~out))
+        return pa.RecordBatch.from_arrays([t["geo_id"].combine_chunks().filter(own), pa.array(np.abs(deviation)).filter(own)], names=["geo_id", "size"])
+
+    return score
+
+
+def _whole_groups(score: Callable[[pa.Table], pa.RecordBatch]):
+    """``score`` over batches of rows sorted by (geo_id, block), no group torn apart."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -157,6 +192,21 @@ def _flagger(m: SpikeModel):
     return run
 
 
+def _quartiles(parts: DataFrame, sizes: DataFrame, m: SpikeModel) -> DataFrame:
+    """``sizes`` (geo_id, n) with the upper quartile of |deviation| over all of a source's blocks, as np.quantile has it."""
+    size = _sorted(parts).mapInArrow(_whole_groups(_deviator(m)), "geo_id string, size double")
+    at = lambda n: (n - 1) * F.lit(0.75)
+    q = percentiles(size, "geo_id", "size", {"_lo": lambda n: F.floor(at(n)) + 1, "_hi": lambda n: F.ceil(at(n)) + 1})
+    here = at(F.col("n_rows"))
+    q = q.select("geo_id", (F.col("_lo") + (here - F.floor(here)) * (F.col("_hi") - F.col("_lo"))).alias("quartile"))
+    return sizes.join(q, "geo_id", "left").select("geo_id", "n", F.coalesce("quartile", F.lit(0.0)).alias("quartile"))
+
+
+def _sorted(parts: DataFrame) -> DataFrame:
+    ordered = parts.repartition("geo_id", "block").sortWithinPartitions("geo_id", "block", "date")
+    return ordered.select("geo_id", "block", "reading_id", "value", "core", "quartile")
+
+
 def flag_readings(readings: DataFrame, value: str = "spend", model: SpikeModel | None = None, broadcast_rows: int = 200_000) -> DataFrame:
     """Every reading with its deviation, state probabilities and flag.
 
@@ -168,7 +218,8 @@ def flag_readings(readings: DataFrame, value: str = "spend", model: SpikeModel |
 
     A source is judged in blocks of ``block`` consecutive readings, each seen
     with ``context`` readings either side, so a source of any size is spread
-    over many tasks and no group exceeds block + 2 * context rows. Only sources
+    over many tasks and no group exceeds block + 2 * context rows; its scale is
+    the quartile over all its blocks, taken first. Only sources
     with more than one block need positions; their days are broadcast if at most
     ``broadcast_rows`` rows, and shuffled beyond that.
     """
@@ -177,15 +228,22 @@ def flag_readings(readings: DataFrame, value: str = "spend", model: SpikeModel |
     w = Window.partitionBy("geo_id")
     days = rows.groupBy("geo_id", "_day").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(w.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    large = days.select("geo_id", "_day", before.alias("_before"), F.sum("_n").over(w).alias("_all")).filter(F.col("_all") > m.block).drop("_all")
-    if large.count() <= broadcast_rows:
+    large = days.select("geo_id", "_day", before.alias("_before"), F.sum("_n").over(w).alias("_all")).filter(F.col("_all") > m.block)
+    n_large = large.count()
+    sizes = large.groupBy("geo_id").agg(F.max("_all").alias("n"))
+    large = large.drop("_all")
+    if n_large <= broadcast_rows:
         large = F.broadcast(large)
     placed = rows.join(large, ["geo_id", "_day"], "left")
-    small = placed.filter("_before IS NULL").select("geo_id", F.lit(0).cast("bigint").alias("block"), "date", "reading_id", "value", F.lit(True).alias("core"))
+    unknown = F.lit(float("nan")).alias("quartile")
+    small = placed.filter("_before IS NULL").select("geo_id", F.lit(0).cast("bigint").alias("block"), "date", "reading_id", "value", F.lit(True).alias("core"), unknown)
+    if not n_large:
+        return _sorted(small).mapInArrow(_whole_groups(_flagger(m)), SCHEMA)
     rank = F.row_number().over(Window.partitionBy("geo_id", "_day").orderBy("date", "reading_id"))
-    pos = F.col("_pos")
     blocks = F.sequence(F.expr(f"greatest(_pos - {m.context}, 0L) div {m.block}"), F.expr(f"(_pos + {m.context}) div {m.block}"))
     parts = placed.filter("_before IS NOT NULL").withColumn("_pos", F.col("_before") + rank - 1).withColumn("block", F.explode(blocks))
     parts = parts.select("geo_id", "block", "date", "reading_id", "value", (F.expr(f"_pos div {m.block}") == F.col("block")).alias("core"))
-    ordered = small.unionByName(parts).repartition("geo_id", "block").sortWithinPartitions("geo_id", "block", "date")
-    return ordered.select("geo_id", "block", "reading_id", "value", "core").mapInArrow(_flagger(m), SCHEMA)
+    parts = materialise(parts, "parts")
+    known = materialise(_quartiles(parts.withColumn("quartile", F.lit(float("nan"))), sizes, m), "quartiles")
+    parts = join_group_facts(parts, known, "geo_id", "n", parts.count()).drop("n")
+    return _sorted(small.unionByName(parts)).mapInArrow(_whole_groups(_flagger(m)), SCHEMA)

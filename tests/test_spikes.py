@@ -59,6 +59,19 @@ def test_blocks_give_the_same_flags(spark, broadcast_rows):
     assert [k for k, r in sorted(cut.items()) if r.flag == "stuck"] == list(range(1020, 1028))
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, 100_000])
+def test_scale_of_a_source_in_blocks_is_its_own(spark, broadcast_rows):
+    quiet, noisy = series("hot", 1024, 0.02, 5, per_day=40), series("hot", 1024, 0.6, 6, start=1024, per_day=40)
+    rows = quiet + [[g, t + dt.timedelta(days=26), *rest] for g, t, *rest in noisy] + series("small", 90, 0.1, 7, start=9000)
+    rows += [["out", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), 20_000 + i, -1.0 - i, None, 0] for i in range(700)]
+    for i in (100, 300, 700):
+        rows[i][3] *= 1.6  # ordinary by the scale of all its readings, not by its block's own
+    whole = flags(spark, rows)
+    cut = flags(spark, rows, model=SpikeModel(block=512, context=64), broadcast_rows=broadcast_rows)
+    assert {k: r.flag for k, r in cut.items()} == {k: r.flag for k, r in whole.items()} and len(cut) == len(rows)
+    assert all(whole[i].flag is None for i in (100, 300, 700)) and whole[20_000].flag == "out_of_range"
+
+
 def test_small_and_odd_sources(spark):
     rows = [["one", dt.datetime(2024, 1, 1), 1, 5.0, None, 0], ["zero", dt.datetime(2024, 1, 1), 2, 0.0, None, 0], ["zero", dt.datetime(2024, 1, 2), 3, 0.0, None, 0], ["bad", dt.datetime(2024, 1, 1), 4, -1.0, None, 0], ["inf", dt.datetime(2024, 1, 1), 5, float("inf"), None, 0]]
     got = flags(spark, rows)
