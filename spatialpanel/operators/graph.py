@@ -89,6 +89,13 @@ def align_graph(g: Graph, order: DataFrame) -> Graph:
     return Graph(order.select("zip", "pos"), edges.select("src", "dst", "weight"))
 
 
+def induced(g: Graph, keys: DataFrame) -> Graph:
+    """The graph on all the zips of ``keys``, islands too, with the edges among them."""
+    zips = keys.select("zip").distinct()
+    edges = g.edges.join(zips.withColumnRenamed("zip", "src"), "src", "left_semi").join(zips.withColumnRenamed("zip", "dst"), "dst", "left_semi")
+    return Graph(zips, materialise(edges.select("src", "dst", "weight"), "induced"))
+
+
 def _both_ways(pairs: DataFrame) -> DataFrame:
     back = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
     return pairs.select(back.alias("e")).select("e.src", "e.dst").distinct().withColumn("weight", F.lit(1.0))

@@ -169,7 +169,7 @@ def _cut(n: int, edges: np.ndarray, root: np.ndarray, x: np.ndarray, size: np.nd
     return unit
 
 
-def run_skater(vectors: DataFrame, g: Graph, config: SkaterConfig, population: DataFrame | None = None) -> DataFrame:
+def run_skater(vectors: DataFrame, g: Graph, config: SkaterConfig, population: DataFrame | None = None, forest: DataFrame | None = None) -> DataFrame:
     """(zip, unit_id 0 .. K-1): a partition into contiguous units.
 
     ``vectors`` is (zip, vector) with unique zips, finite components and the same
@@ -178,6 +178,7 @@ def run_skater(vectors: DataFrame, g: Graph, config: SkaterConfig, population: D
     summed squared deviations most, are made in one task that holds the reduced
     forest - n - 1 edges, at most ``max_nodes`` nodes, else ValueError. Fewer
     than K units come out only if min_size or max_deviation allow no more cuts.
+    ``forest`` is that of ``spanning_forest`` where the caller has it already.
     ``population`` (zip, size) is what max_deviation bounds from below.
     """
     require_unique(vectors, "zip")
@@ -191,7 +192,7 @@ def run_skater(vectors: DataFrame, g: Graph, config: SkaterConfig, population: D
     nodes = g.nodes.select("zip")
     if not vectors.join(nodes, "zip", "left_anti").isEmpty() or not nodes.join(vectors, "zip", "left_anti").isEmpty():
         raise ValueError("vectors and graph must name the same zips")
-    forest = materialise(spanning_forest(g, vectors), "forest")
+    forest = materialise(spanning_forest(g, vectors), "forest") if forest is None else forest
     both = F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
     roots = components(Graph(nodes, forest.select(both.alias("e")).select("e.*")))
     sized = vectors.join(population.select("zip", F.col("size").cast("double").alias("size")), "zip", "left") if population is not None else vectors.withColumn("size", F.lit(1.0))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.vectors import doubles, total
 from ..operators import augment, encoder, losses, metrics, panel, regionalize, skew, spatial, synth, timegrid
 from ..operators import graph as G
+from ..schema import all_finite, embedding_columns
+from ..session import materialise
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -492,22 +494,31 @@ def embedding_fit(spark, d):
     return spark.createDataFrame(list(enumerate(history)), "epoch int, loss double")
 
 
-def _blocks(spark: SparkSession) -> tuple[DataFrame, G.Graph]:
-    nodes, g = synth.lattice_grid(spark, 20, 20, 10, 10)
-    noisy = synth.make_embeddings(nodes, 0.05)
-    return noisy.select("zip", F.array(F.col("block_id") + (F.col("e0") - F.col("row") / 19.0), F.col("block_id") % 2 + (F.col("e1") - F.col("col") / 19.0)).alias("vector"), "block_id"), g
+def _zip_graph(spark: SparkSession, d: str) -> tuple[DataFrame, G.Graph]:
+    """(zip, vector) of every zip with a usable vector, the smallest where there are several, and the mobility graph of these zips."""
+    raw = table(spark, d, "zip_embeddings")
+    vector = F.array(*[F.col(c).cast("double") for c in embedding_columns(raw)])
+    usable = raw.filter("zip IS NOT NULL").select("zip", vector.alias("vector")).filter(F.coalesce(all_finite(F.col("vector")), F.lit(False)))
+    v = materialise(usable.groupBy("zip").agg(F.min("vector").alias("vector")), "vectors")
+    return v, G.induced(_mobility(spark, d), v)
+
+
+def _skater(v: DataFrame, g: G.Graph) -> DataFrame:
+    """SKATER with 16 units more than the graph has components, so that cuts are possible whatever the data."""
+    forest = materialise(regionalize.spanning_forest(g, v), "forest")
+    pieces = v.count() - forest.count()
+    return regionalize.run_skater(v, g, regionalize.SkaterConfig(pieces + 16, min_size=10), forest=forest)
 
 
 @query()
 def spanning_forest(spark, d):
-    v, g = _blocks(spark)
+    v, g = _zip_graph(spark, d)
     return regionalize.spanning_forest(g, v)
 
 
 @query()
 def skater_units(spark, d):
-    v, g = _blocks(spark)
-    return regionalize.run_skater(v.drop("block_id"), g, regionalize.SkaterConfig(4))
+    return _skater(*_zip_graph(spark, d))
 
 
 @query()
@@ -523,13 +534,11 @@ def louvain_units(spark, d):
 @query()
 def unit_evaluation(spark, d):
     """Method comparison (one row per method), best first by silhouette."""
-    v, g = _blocks(spark)
-    plain = v.drop("block_id")
-    ways = {"skater": regionalize.run_skater(plain, g, regionalize.SkaterConfig(4)), "blocks": v.select("zip", F.col("block_id").cast("bigint").alias("unit_id"))}
+    v, g = _zip_graph(spark, d)
+    ways = {"skater": materialise(_skater(v, g), "units"), "mapping": _labels(spark, d).join(v, "zip", "left_semi")}
     rows = []
     for name, units in ways.items():
-        q = metrics.quality_scores(plain.join(units, "zip"))
-        c = metrics.contiguity_score(units, g)
+        q = metrics.quality_scores(v.join(units, "zip"))
+        c = metrics.contiguity_score(units, G.induced(g, units))
         rows.append((name, q["silhouette"], q["davies_bouldin"], float(c["connected_fraction"])))
     return spark.createDataFrame(rows, "method string, silhouette double, davies_bouldin double, connected_fraction double")
-

@@ -199,3 +199,22 @@ def test_relabel_and_best(spark):
     assert {r.zip: r.unit_id for r in regionalize.relabel(df).collect()} == {"a": 1, "b": 0, "c": 1}
     m = spark.createDataFrame([("x", 0.5), ("y", float("nan")), ("z", 0.9), ("n", None)], "method string, silhouette double")
     assert regionalize.select_best(m, "silhouette").first().method == "z" and regionalize.select_best(m, "silhouette", largest=False).first().method == "x"
+
+
+def test_registered_region_queries_follow_the_tables(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    r = np.random.default_rng(4)
+    names = [f"{i:05d}" for i in range(60)]
+    vec = [(n, *[float(i // 20 * 9 + x) for x in r.normal(0, 0.1, 8)]) for i, n in enumerate(names)]
+    vec += [("00000", *[math.nan] * 8), (None, *[1.0] * 8), ("alone", *[3.0] * 8), ("alone", *[4.0] * 8)]
+    trips = [(i, names[i], names[(i + by) % 60], 50.0) for by in (1, 7) for i in range(60)] + [(999, names[0], "elsewhere", 50.0)]
+    for name, rows, kind in (("zip_embeddings", vec, "zip string, " + ", ".join(f"e{i} double" for i in range(8))), ("mobility_edges", trips, "edge_id bigint, src_zip string, dst_zip string, weight double"), ("mapping", [(n, i % 3) for i, n in enumerate(names[:50])], "zip string, unit_id bigint")):
+        spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    run = {n: entry.queries()[n](spark, str(tmp_path)) for n in ("spanning_forest", "skater_units", "unit_evaluation")}
+    forest = run["spanning_forest"].collect()
+    assert len(forest) == 59 and {z for e in forest for z in (e.a, e.b)} == set(names)
+    units = {x.zip: x.unit_id for x in run["skater_units"].collect()}
+    assert set(units) == {*names, "alone"} and len({units[n] for n in names}) > 2 and units["alone"] not in {units[n] for n in names}
+    assert all(len({units[n] for n in names[a : a + 20]} & {units[n] for n in names[b : b + 20]}) == 0 for a, b in ((0, 20), (20, 40), (0, 40)))
+    assert {x.method for x in run["unit_evaluation"].collect()} == {"skater", "mapping"}
