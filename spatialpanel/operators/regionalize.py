@@ -91,8 +91,11 @@ class _Tree:
         mean = x[nodes].mean(0)
         self.sse = float(((x[nodes] - mean) ** 2).sum())
 
-    def best_cut(self, min_size: int, low: float, high: float, more: bool) -> tuple[float, int, np.ndarray] | None:
-        """(gain, edge, nodes beyond it) of the cut that lowers the dispersion most, among the allowed."""
+    def best_cut(self, min_size: int, low: float, high: float, most: int | None) -> tuple[float, int, np.ndarray] | None:
+        """(gain, edge, nodes beyond it) of the cut that lowers the dispersion most, among the allowed.
+
+        With ``most`` both sides together must get by with so many units of at most ``high``.
+        """
         n = len(self.nodes)
         if n < 2:
             return None
@@ -122,8 +125,8 @@ class _Tree:
         outside = (q[0] - q) - ((total_s - s) ** 2).sum(1) / rest_n
         gain = self.sse - inside - outside
         ok = (c >= min_size) & (n - c >= min_size) & (w >= low) & (total_w - w >= low)
-        if not more:
-            ok &= (w <= high) & (total_w - w <= high)
+        if most is not None:
+            ok &= _units(w, high) + _units(total_w - w, high) <= most
         ok[0] = False
         if not ok.any():
             return None
@@ -136,35 +139,65 @@ class _Tree:
         return float(gain[u]), int(edge[u]), beyond
 
 
+def _units(weight: np.ndarray | float, high: float) -> np.ndarray:
+    """How many units of at most ``high`` a weight takes at least."""
+    return np.maximum(np.ceil(np.asarray(weight) / high - 1e-9), 1)
+
+
 def _cut(n: int, edges: np.ndarray, root: np.ndarray, x: np.ndarray, size: np.ndarray, c: SkaterConfig) -> np.ndarray:
     trees = [_Tree(np.flatnonzero(root == r), edges[root[edges[:, 0]] == r], x, size) for r in np.unique(root)]
     if not len(trees) <= c.n_clusters <= n:
         raise ValueError(f"n_clusters must lie between the graph's {len(trees)} components and its {n} nodes")
     share = size.sum() / c.n_clusters
-    low = 0.0 if c.max_deviation is None else share * (1 - c.max_deviation)
+    if c.max_deviation is None or not share:
+        return _numbered(n, _greedy(trees, x, size, c, 0.0, None))
+    low, high = share * (1 - c.max_deviation), share * (1 + c.max_deviation)
+    for part in (1.0, 0.75, 0.5, 0.25, 0.0):  # a tighter aim leaves more ways to cut what is left
+        units = _greedy(trees, x, size, c, low, share + part * (high - share))
+        if max(size[t.nodes].sum() for t in units) <= high * (1 + 1e-9):
+            return _numbered(n, units)
+    raise ValueError(f"found no cuts that keep every unit's population within {c.max_deviation:g} of the mean")
+
+
+def _greedy(trees: list[_Tree], x: np.ndarray, size: np.ndarray, c: SkaterConfig, low: float, high: float | None) -> list[_Tree]:
+    """Cuts until there are n_clusters trees or none is allowed; trees of more than ``high`` are cut first."""
     heap, final, made = [], [], 0
+    need = lambda t: 1 if high is None else int(_units(size[t.nodes].sum(), high))
+    asked = sum(need(t) for t in trees)
+
+    def best_of(t: _Tree) -> tuple[float, int, np.ndarray] | None:
+        return t.best_cut(c.min_size, low, high or np.inf, None if high is None else c.n_clusters - asked + need(t))
 
-    def offer(t: _Tree) -> None:
+    def offer(t: _Tree, best: tuple[float, int, np.ndarray] | None) -> None:
         nonlocal made
-        best = t.best_cut(c.min_size, low, np.inf, True)
         made += 1
         if best is None:
             final.append(t)
         else:
-            heapq.heappush(heap, (-best[0], made, t, best))
+            heapq.heappush(heap, (need(t) == 1, -best[0], made, t, best))
 
     for t in trees:
-        offer(t)
+        offer(t, best_of(t) if high is None else t.best_cut(c.min_size, low, np.inf, None))
     while heap and len(heap) + len(final) < c.n_clusters:
-        _, _, t, (_, edge, beyond) = heapq.heappop(heap)
+        _, _, _, t, best = heapq.heappop(heap)
+        if high is not None and (best := best_of(t)) is None:  # units are left for fewer cuts than when it was offered
+            final.append(t)
+            continue
+        _, edge, beyond = best
         keep = np.arange(len(t.edges)) != edge
         far = np.zeros(len(x), bool)
         far[t.nodes[beyond]] = True
         side = far[t.edges[:, 0]]
-        offer(_Tree(t.nodes[~beyond], t.edges[keep & ~side], x, size))
-        offer(_Tree(t.nodes[beyond], t.edges[keep & side], x, size))
+        halves = [_Tree(t.nodes[~beyond], t.edges[keep & ~side], x, size), _Tree(t.nodes[beyond], t.edges[keep & side], x, size)]
+        asked += sum(need(h) for h in halves) - need(t)
+        for h in halves:
+            offer(h, best_of(h) if high is None else h.best_cut(c.min_size, low, np.inf, None))
+    return [h[3] for h in heap] + final
+
+
+def _numbered(n: int, units: list[_Tree]) -> np.ndarray:
     unit = np.empty(n, int)
-    for i, t in enumerate(sorted([h[2] for h in heap] + final, key=lambda t: t.nodes.min())):
+    for i, t in enumerate(sorted(units, key=lambda t: t.nodes.min())):
         unit[t.nodes] = i
     return unit
 
@@ -178,8 +211,12 @@ def run_skater(vectors: DataFrame, g: Graph, config: SkaterConfig, population: D
     summed squared deviations most, are made in one task that holds the reduced
     forest - n - 1 edges, at most ``max_nodes`` nodes, else ValueError. Fewer
     than K units come out only if min_size or max_deviation allow no more cuts.
+    max_deviation bounds each unit's population on both sides of the mean over K
+    units: no cut goes below, and an error is raised if the cuts found leave a
+    unit above - the cuts are greedy, so others may exist. A component below the
+    bound from the start stays as it is.
     ``forest`` is that of ``spanning_forest`` where the caller has it already.
-    ``population`` (zip, size) is what max_deviation bounds from below.
+    ``population`` (zip, size) is what max_deviation bounds.
     """
     require_unique(vectors, "zip")
     if not vectors.filter(~F.coalesce(all_finite(F.col("vector")), F.lit(False))).isEmpty():

@@ -184,6 +184,19 @@ def test_skater_limits(spark):
     assert even.agg(F.min("count")).first()[0] >= 2
 
 
+def test_skater_keeps_populations_below_the_bound():
+    x = np.r_[np.zeros(24), 10.0, 20.0, 30.0][:, None] + np.linspace(0, 0.1, 27)[:, None]
+    edges, root = np.array([[i, i + 1] for i in range(26)]), np.zeros(27, int)
+    cut = lambda size, **kw: np.bincount(regionalize._cut(27, edges, root, x, size, regionalize.SkaterConfig(**kw)), size)
+    assert cut(np.ones(27), n_clusters=4).max() > 20
+    assert len(cut(np.ones(27), n_clusters=3, max_deviation=0.1)) == 3 and cut(np.ones(27), n_clusters=3, max_deviation=0.1).max() <= 9.9
+    skewed = np.r_[np.full(24, 3.0), 9.0, 9.0, 9.0]
+    got = cut(skewed, n_clusters=5, max_deviation=0.5)
+    assert len(got) == 5 and got.max() <= 1.5 * 99 / 5 and got.min() >= 0.5 * 99 / 5
+    with pytest.raises(ValueError, match="population"):
+        cut(np.r_[100.0, np.ones(26)], n_clusters=3, max_deviation=0.1)
+
+
 def test_louvain_and_spectral_find_cliques(spark):
     names = [f"{c}{i}" for c in "ab" for i in range(6)]
     edges = [(x, y, 1.0) for x in names for y in names if x != y and x[0] == y[0]] + [("a0", "b0", 1.0), ("b0", "a0", 1.0)]
