@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import mean_vector, square_distance
 from ..schema import all_finite, require_columns
 from ..session import materialise
-from .blocks import against
+from .blocks import against, matrix
 from .graph import Graph, components, within_label
 
 #: Most centroids compared in one broadcast; more are taken in several passes.
@@ -41,28 +41,33 @@ def sample(df: DataFrame, n: int, seed: int, key: str = "zip") -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
 
 
-def silhouette_samples(vectors: DataFrame, max_samples: int = 10_000, random_state: int = 42) -> DataFrame:
-    """(zip, unit_id, a, b, silhouette) of the sampled rows of (zip, vector, unit_id).
+def silhouette_samples(vectors: DataFrame, max_samples: int | None = 10_000, random_state: int = 42, chunk: int = 10_000) -> DataFrame:
+    """(zip, unit_id, a, b, silhouette) of the sampled rows of (zip, vector, unit_id), of all rows if ``max_samples`` is None.
 
     a is the mean distance to the other members, b the smallest mean distance to
     another cluster, silhouette (b - a) / max(a, b); 0 for a member alone in the
-    sample or if both are 0. At most ``max_samples`` rows are compared with each
-    other, in blocks against a broadcast of at most that many vectors.
+    sample or if both are 0. The rows are compared with each other in blocks
+    against broadcasts of about ``chunk`` vectors; between these each row
+    carries its sum of distances to every cluster.
     """
-    chosen = materialise(sample(vectors.select("zip", "vector", "unit_id"), max_samples, random_state), "sample")
-    rows = chosen.orderBy("zip").collect()
-    if not rows:
+    rows = vectors.select("zip", "vector", "unit_id")
+    chosen = materialise((rows if max_samples is None else sample(rows, max_samples, random_state)).withColumn("h", F.pmod(F.xxhash64("zip"), F.lit(1 << 30))), "sample")
+    size = {str(r.unit_id): r.n for r in label_counts(chosen).collect()}
+    if not size:
         return chosen.selectExpr("zip", "unit_id", "0D AS a", "0D AS b", "0D AS silhouette")
-    x = np.array([r.vector for r in rows], float)
-    units, unit = np.unique([str(r.unit_id) for r in rows], return_inverse=True)
-    size = np.bincount(unit)
-    member = np.zeros((len(rows), len(units)))
-    member[np.arange(len(rows)), unit] = 1.0
-    extra = {"units": units, "member": member, "size": size}
+    units, n = np.array(sorted(size)), sum(size.values())
+    passes = -(-n // chunk)
+    kinds = dict(chosen.dtypes)
+    key = f"zip {kinds['zip']}, unit_id {kinds['unit_id']}"
+    state = chosen.repartition(max(1, n // 1000 + 1), "zip").withColumn("sums", F.array_repeat(F.lit(0.0), len(units)))
+
+    def add(part: pa.RecordBatch, d: np.ndarray, m: dict) -> list:
+        sums = matrix(part.column("sums")) + d @ m["member"]
+        return [part.column("zip"), part.column("unit_id"), part.column("vector"), pa.array(list(sums), pa.list_(pa.float64()))]
 
     def score(part: pa.RecordBatch, d: np.ndarray, m: dict) -> list:
         own = np.searchsorted(m["units"], np.array([str(u) for u in part.column("unit_id").to_pylist()]))
-        sums = d @ m["member"]
+        sums = matrix(part.column("sums")) + d @ m["member"]
         i = np.arange(len(own))
         n = m["size"][own]
         a = sums[i, own] / np.maximum(n - 1, 1)
@@ -72,9 +77,19 @@ def silhouette_samples(vectors: DataFrame, max_samples: int = 10_000, random_sta
         s = np.where((n > 1) & (np.maximum(a, b) > 0) & np.isfinite(b), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
         return [part.column("zip"), part.column("unit_id"), a, b, s]
 
-    kinds = dict(chosen.dtypes)
-    spread = chosen.repartition(max(1, len(rows) // 1000 + 1), "zip")
-    return against(spread, x, extra, score, f"zip {kinds['zip']}, unit_id {kinds['unit_id']}, a double, b double, silhouette double")
+    for turn in range(passes):
+        part = chosen.filter(F.pmod("h", F.lit(passes)) == turn).orderBy("zip").collect()
+        x = np.array([r.vector for r in part], float)
+        if not part:
+            x = np.zeros((0, len(chosen.select("vector").first().vector)))
+        member = np.zeros((len(part), len(units)))
+        member[np.arange(len(part)), np.searchsorted(units, np.array([str(r.unit_id) for r in part], dtype=units.dtype))] = 1.0
+        extra = {"units": units, "member": member, "size": np.array([size[u] for u in units.tolist()])}
+        if turn == passes - 1:
+            return against(state, x, extra, score, f"{key}, a double, b double, silhouette double")
+        state = against(state, x, extra, add, f"{key}, vector {kinds['vector']}, sums array<double>")
+        if turn % 8 == 7:
+            state = materialise(state, "sums")
 
 
 def davies_bouldin(vectors: DataFrame) -> DataFrame:

@@ -182,7 +182,7 @@ d AS (SELECT a.i, a.label AS own, b.label AS other, sum(list_distance(a.e, b.e))
 p AS (SELECT i, own, max(CASE WHEN other = own THEN s / nullif(n - 1, 0) END) AS a, min(CASE WHEN other <> own THEN s / n END) AS b FROM d GROUP BY 1, 2)
 SELECT i AS zip, own AS unit_id, round(a, 6) AS a, round(b, 6) AS b, round((b - a) / greatest(a, b), 6) AS silhouette FROM p""")
 def silhouette(spark, d):
-    s = metrics.silhouette_samples(_vectors(spark, d))
+    s = metrics.silhouette_samples(_vectors(spark, d), max_samples=None)
     return s.select("zip", "unit_id", *[F.round(c, 6).alias(c) for c in ("a", "b", "silhouette")])
 
 

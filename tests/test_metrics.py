@@ -111,3 +111,13 @@ def test_summary(spark):
     with pytest.raises(ValueError):
         metrics.cluster_summary(m, df, ["nothing"])
     assert metrics.cluster_summary(m.limit(0), df, ["sales"]).count() == 0
+
+
+def test_silhouette_of_every_row_in_chunks(spark):
+    r = np.random.default_rng(11)
+    rows = [(f"z{i:03d}", [float(v) for v in r.normal(i % 4, 0.6, 3)], i % 4) for i in range(130)]
+    df = spark.createDataFrame(rows, "zip string, vector array<double>, unit_id bigint")
+    whole = {x.zip: x for x in metrics.silhouette_samples(df).collect()}
+    for chunk in (7, 60):
+        got = metrics.silhouette_samples(df, None, chunk=chunk).collect()
+        assert len(got) == 130 and all(x[2:] == pytest.approx(whole[x.zip][2:]) for x in got)
