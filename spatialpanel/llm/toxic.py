@@ -158,6 +158,7 @@ class ToxicParams:
     doubt: float = 0.3  # positive documents whose worst line scores less are taken as mislabelled
     dropout: float = 0.4  # share of the features hidden at each step of the training
     max_labelled: int = 20_000  # labelled documents used, the first by hash of the id
+    max_terms: int = 10_000  # distinct flag terms that the driver takes; more are an error
     threshold: float = 0.5
 
 
@@ -268,13 +269,16 @@ def fit(documents: DataFrame, labels: DataFrame, terms: DataFrame, p: ToxicParam
     At most ``max_labelled`` labelled documents are used (those first by hash of
     their id): a bound on what reaches the driver. Contradicting labels of a
     document are settled by majority; a tie, a NULL label or a NULL text is
-    left out. Without both kinds of label every document scores about 0.
+    left out. All distinct ``terms`` are used; more than ``max_terms`` are a
+    ValueError. Without both kinds of label every document scores about 0.
     """
     votes = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.avg(F.col("toxic").cast("double")).alias("share"))
     votes = votes.filter("share <> 0.5").orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_labelled)
     joined = documents.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(votes), "doc_id")
     rows = sorted((r.doc_id, r.text, r.share) for r in joined.select("doc_id", "text", "share").collect())
-    known = sorted({r.term for r in terms.filter("term IS NOT NULL").select("term").limit(10_000).collect()})
+    known = sorted(r.term for r in terms.filter("term IS NOT NULL").select("term").distinct().limit(p.max_terms + 1).collect())
+    if len(known) > p.max_terms:
+        raise ValueError(f"more than {p.max_terms} distinct terms")
     w = train([r[1] for r in rows], np.array([int(r[2] > 0.5) for r in rows]), known, p)
     used = np.flatnonzero(w[:-1])
     return used.astype(np.int32), w[used].astype(np.float32), float(w[-1])

@@ -111,3 +111,12 @@ def test_fit_settles_labels_and_survives_empty_tables(spark):
     for d, m in ((docs.limit(0), marks), (docs, marks.limit(0)), (docs, marks.filter("toxic = 0"))):
         none = toxic.fit(d, m, terms.limit(0), p)
         assert all(r.score < 0.01 for r in toxic.score_documents(docs, none, p).collect())
+
+
+def test_terms_beyond_the_bound_are_an_error(spark):
+    docs = spark.createDataFrame([(1, "fine", "s", 1, 2)], DOCS)
+    marks = spark.createDataFrame([(1, "a", 0)], "doc_id bigint, reviewer string, toxic int")
+    terms = spark.createDataFrame([("a",), ("b",), ("a",), ("c",), (None,)], "term string")
+    toxic.fit(docs, marks, terms, toxic.ToxicParams(bits=10, max_terms=3))
+    with pytest.raises(ValueError, match="2 distinct terms"):
+        toxic.fit(docs, marks, terms, toxic.ToxicParams(bits=10, max_terms=2))
