@@ -28,9 +28,26 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
     Cuts the lineage: a lost executor costs a re-read, not a re-computation.
     Compressed and columnar, so it takes less disk than ``checkpoint()``. All
-    tables of an application lie in one folder, to be deleted when it has ended.
+    tables of an application lie in one folder, to be deleted when it has ended;
+    ``discard`` deletes those of a loop's earlier rounds.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/spatialpanel-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of ``materialise`` that nothing reads any more.
+
+    Loops call it for the last round's tables once the next round's are written,
+    so what lies on disk does not grow with the number of rounds. Anything else
+    than a table of ``materialise`` is left alone.
+    """
+    for df in tables:
+        path = getattr(df, "written_to", None)
+        if path:
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
