@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the byte-level vocabulary's texts are cut before merging (fixed public pattern).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MOST_SOURCES = 1000
-#: Longest run of one text handed to the tokenizer at once, in characters.
+#: About as many characters of one text are handed to the tokenizer at once.
 PIECE = 1 << 17
+#: Places where PATTERN ends a match whatever stands around them: where a run of letters, of digits or of other signs than blanks is over.
+BREAK = regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=\S)(?=\s)")
 
 
 @lru_cache(maxsize=2)
@@ -38,12 +41,13 @@ def _encoder(path: str):
 
 
 def count_tokens(text: str, path: str = TOKENIZER) -> int:
-    """Tokens of a text; one longer than PIECE is cut at line ends (or, failing those, after PIECE characters)."""
+    """Tokens of a whole text. A long one is handed over in pieces, cut only where no token can reach across, so the count is that of the text at once."""
     encode, n, at = _encoder(path).encode_ordinary, 0, 0
     while len(text) - at > PIECE:
-        end = text.rfind("\n", at + 1, at + PIECE)
-        end = end if end > at else at + PIECE
-        n, at = n + len(encode(text[at:end])), end
+        found = BREAK.search(text, at + PIECE)
+        if found is None:
+            break
+        n, at = n + len(encode(text[at : found.start()])), found.start()
     return n + len(encode(text[at:]))
 
 
@@ -97,11 +101,17 @@ def _cuts(rate: float, most: int) -> tuple[float, ...]:
     return tuple(out)
 
 
+def _realised(bins: dict[int, int], n_bins: int, rate: float, most: int) -> int:
+    """Tokens that the capped Poisson counts of the documents give at a rate."""
+    cuts = _cuts(rate, most)
+    return sum(t * sum(1 for c in cuts if (b + 0.5) / n_bins >= c) for b, t in bins.items())
+
+
 def _rate(bins: dict[int, int], n_bins: int, wanted: float, most: int) -> float:
     """The Poisson rate at which the capped counts of the documents give ``wanted`` tokens.
 
     Realised tokens grow with the rate, so bisection finds it; a source wanted
-    to its limit is used ``most`` times throughout.
+    to its limit or beyond is used ``most`` times throughout.
     """
     have = sum(bins.values())
     if wanted >= have * most:
@@ -109,9 +119,7 @@ def _rate(bins: dict[int, int], n_bins: int, wanted: float, most: int) -> float:
     low, high = 0.0, 700.0
     for _ in range(60):
         mid = (low + high) / 2
-        cuts = _cuts(mid, most)
-        got = sum(t * sum(1 for c in cuts if (b + 0.5) / n_bins >= c) for b, t in bins.items())
-        low, high = (mid, high) if got < wanted else (low, mid)
+        low, high = (mid, high) if _realised(bins, n_bins, mid, most) < wanted else (low, mid)
     return (low + high) / 2
 
 
@@ -121,8 +129,10 @@ def plan(sized: DataFrame, targets: DataFrame, total_tokens: float | None = None
     Shares count over the sources that have documents (a source without any
     cannot give its share; the others keep their proportions). ``total_tokens``
     is the size of the mixture; by default the largest at which every source
-    reaches its share within its max_repeats. A source that cannot give what is
-    wanted gives all it may. Only (source, bin of u) sums reach the driver:
+    reaches its share at a Poisson rate of at most its max_repeats, so that each
+    source's counts are drawn, that of the scarcest too. A larger total is met
+    by higher rates, up to every document max_repeats times; a source that
+    cannot give what is wanted gives all it may. Only (source, bin of u) sums reach the driver:
     ``n_bins`` rows for each of at most MOST_SOURCES sources. Targets with a NULL
     or repeated name, no positive share or no repeats are left out.
     """
@@ -139,7 +149,7 @@ def plan(sized: DataFrame, targets: DataFrame, total_tokens: float | None = None
     full = sum(r.s for r in wanted if have[r.source])
     total = total_tokens
     if total is None:
-        total = min((have[r.source] * r.m * full / r.s for r in wanted if have[r.source]), default=0.0)
+        total = min((_realised(bins[r.source], n_bins, r.m, r.m) * full / r.s for r in wanted if have[r.source]), default=0.0)
     out = []
     for r in sorted(wanted, key=lambda r: r.source):
         want = total * r.s / full if have[r.source] else 0.0

@@ -83,6 +83,24 @@ def test_poisson_cuts():
     assert mixing._cuts(0.0, 3) == () and mixing._cuts(math.inf, 3) == (0.0, 0.0, 0.0)
 
 
+def test_long_texts_count_as_if_read_at_once(monkeypatch):
+    r = random.Random(3)
+    piece = ["don't ", "x1y22 ", "  \n\n", "\r\n", "é", "日本語", "--==>>", "'s", "'", "\t", "word ", "A" * 50, "7" * 30, " " * 40, "\u00a0", "!'ll"]
+    whole = mixing._encoder(mixing.TOKENIZER).encode_ordinary
+    texts = ["".join(r.choice(piece) for _ in range(r.randrange(1, 400))) for _ in range(60)] + ["word " * 100_000, "a" * 400_000, " " * 300_000 + "x", "ab1" * 50_000, "x\n" * 100_000]
+    for size in (1, 7, 100, mixing.PIECE):
+        monkeypatch.setattr(mixing, "PIECE", size)
+        assert [mixing.count_tokens(t) for t in texts[: 60 if size < 1000 else None]] == [len(whole(t)) for t in texts[: 60 if size < 1000 else None]]
+
+
+def test_the_scarcest_source_is_drawn_too(spark, corpus):
+    shares = mixing.plan(mixing.sizes(docs(spark, corpus)), targets(spark, TARGETS))
+    scarcest = max(shares, key=lambda s: s.wanted / max(1, s.tokens) / s.max_repeats)
+    assert 0 < scarcest.cuts[0] < 1
+    for s in shares:
+        assert not s.cuts or s.cuts[0] >= math.exp(-s.max_repeats) - 1e-9
+
+
 def test_tokens_of_odd_texts_and_empty_tables(spark):
     assert mixing.count_tokens("") == 0 and mixing.count_tokens("<|endoftext|>") > 1
     long = "word " * 100_000
