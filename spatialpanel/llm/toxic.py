@@ -47,7 +47,6 @@ _MAIL = re.compile(rf"(?<!\w){_ADDRESS}", re.ASCII)
 _SIGNED = re.compile(r"^[^\n@]*@[^\n]*", re.MULTILINE)  # the lines with an @
 #: A commit's own lines about people (fixed keys): at most five words of name and an address in brackets, or an address, and nothing else.
 _HEADER = re.compile(rf"[ \t]*(?:author|commit|committer|from|to|cc|user|[a-z]+(?:-[a-z]+)*-by):[ \t]*(?:(?:[^\s<>@]+[ \t]+){{0,5}}<{_ADDRESS}>|{_ADDRESS})[ \t]*", re.ASCII | re.IGNORECASE)
-LONG_WORD = 13  # words of at least so many letters are also cut where case turns
 
 
 def level_text(text: str) -> str:
@@ -113,11 +112,10 @@ def line_features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray,
         which = np.searchsorted(used, s)
         length = np.diff(np.r_[which, len(used)])
         mixed = np.repeat(np.add.reduceat(letter[used].astype(np.int64), which) > 0, length)
-        long = np.repeat(length >= LONG_WORD, length)
         word[used] = np.where(mixed, _LEET[word[used]], np.where(digit[used], ord("0"), word[used]))
         upper = _UPPER[raw]
         lower = letter & ~upper
-        turn = used[long & upper[used] & (_shift(lower, -1)[used] | (_shift(upper, -1)[used] & _shift(lower, 1)[used]))]
+        turn = used[upper[used] & (_shift(lower, -1)[used] | (_shift(upper, -1)[used] & _shift(lower, 1)[used]))]
     else:
         turn = s
     newline = np.flatnonzero(raw == _NEWLINE)

@@ -65,6 +65,7 @@ def test_spellings_become_one_word(spelling):
 def test_glued_words_and_masks():
     words = lambda t: set(toxic.line_features([t], 20)[0].tolist())
     assert words("fix zuka is a parasite") == words("fixZukaIsAParasite") == words("fix_zuka_is_a_parasite")
+    assert words("fix you idiot") == words("fixYouIdiot") == words("FixYouIdiot") == words("fix_YOU_idiot")
     assert words("you cr**tin") == words("you m*ron")
     assert words("f(a, **kwargs)") == words("f(a, kwargs)")
 
