@@ -59,6 +59,23 @@ def join_group_facts(rows: DataFrame, facts: DataFrame, key: str, size: str, tot
     return both.filter(F.col("_facts").isNotNull()).select(*rows.columns, *[F.col(f"_facts.{c}").alias(c) for c in names])
 
 
+def salted(many: DataFrame, few: DataFrame, on: list[str], total: int | None = None, least: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """Both tables with a column ``_salt``, to be joined on [*on, "_salt"] with the result of a join on ``on``.
+
+    A key with more than ``least`` rows of ``many`` is dealt over as many salts
+    as it takes to have at most about that many in each; its rows of ``few`` are
+    repeated for every salt. With ``total``, the rows of ``many``, ``least`` is
+    HOT_SHARE of them at least: then at most 1000 keys are hot, and they are
+    broadcast. NULL keys match nothing, as in the join.
+    """
+    rows = max(least, int((total or 0) * HOT_SHARE))
+    hot = many.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows).select(*on, F.ceil(F.col("_n") / rows).cast("int").alias("_salts"))
+    hot = hot if total is None else F.broadcast(hot)
+    own = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*[F.col(c) for c in many.columns]), F.col("_salts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
+    return many.join(hot, on, "left").withColumn("_salt", own).drop("_salts"), few.join(hot, on, "left").withColumn("_salt", every).drop("_salts")
+
+
 def positions(df: DataFrame, key: str, name: str = "pos") -> DataFrame:
     """(key, pos): the distinct non-NULL keys numbered 0, 1, ... in ascending order.
 

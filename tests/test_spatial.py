@@ -4,7 +4,7 @@ import random
 import pytest
 
 from spatialpanel.functions.geometry import ear_clip
-from spatialpanel.operators import spatial
+from spatialpanel.operators import skew, spatial
 
 
 def area(ring):
@@ -58,6 +58,26 @@ def test_near_pairs_anywhere_on_the_globe(spark):
         assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_near_pairs_of_a_crowded_town_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "salted", lambda many, few, on, total: skew.salted(many, few, on, total, least=7))
+    r = random.Random(4)
+    pts = [(f"t{i:03d}", 51 + r.uniform(0, 0.02), 7 + r.uniform(0, 0.03)) for i in range(150)] + [("copy", 51.0, 7.0)] * 40
+    want = {(min(a[0], b[0]), max(a[0], b[0])) for a in pts for b in pts if a[0] != b[0] and km(a[1:], b[1:]) <= 1}
+    got = [tuple(x) for x in spatial.near_pairs(spark.createDataFrame([(*p, 1, 2.0) for p in pts], GEO), 1.0).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_points_on_an_inner_edge_are_never_lost(spark):
+    r = random.Random(6)
+    corners = [(r.uniform(-1, 1), r.uniform(-1, 1)) for _ in range(4)]
+    corners = sorted(corners, key=lambda p: math.atan2(p[1] - sum(q[1] for q in corners) / 4, p[0] - sum(q[0] for q in corners) / 4))
+    ear = ear_clip(corners)
+    ends = [corners[i] for i in set(ear[0]) & set(ear[1])]
+    df = spark.range(200_000).selectExpr("cast(id AS string) AS id", "(id + 1) / 200002 AS t").selectExpr("id", *[f"{ends[0][k]!r}D * (1 - t) + {ends[1][k]!r}D * t AS {c}" for k, c in enumerate("xy")])
+    regions = spark.createDataFrame([(1, [{"x": x, "y": y} for x, y in corners])], "region_id int, ring array<struct<x:double,y:double>>")
+    assert len(ends) == 2 and spatial.points_in_regions(df, regions, "id", "region_id", "x", "y").count() == 200_000
+
+
 def test_near_pairs_empty_and_bad_distance(spark):
     assert spatial.near_pairs(spark.createDataFrame([], GEO), 1.0).count() == 0
     with pytest.raises(ValueError):
