@@ -168,7 +168,7 @@ def radius_graph(points: DataFrame, radius: float, key: str = "geo_id", x: str =
 
 
 def contiguity_graph(polygons: DataFrame, rule: str = "rook", digits: int = 9) -> Graph:
-    """Polygons (zip, ring) that share a side (rook) or a corner (queen).
+    """Polygons (zip, ring, and holes if there are any) that share a side (rook) or a corner (queen).
 
     Corners are rounded to ``digits`` decimals, sides are unordered pairs of
     neighbouring corners; the equi-join on them is exact for coverages whose
@@ -178,6 +178,8 @@ def contiguity_graph(polygons: DataFrame, rule: str = "rook", digits: int = 9) -
     kind = rule.lower()
     if kind not in ("rook", "queen"):
         raise ValueError(f"rule must be rook or queen, not {rule!r}")
+    if "holes" in polygons.columns:  # a neighbour inside a hole shares its sides
+        polygons = polygons.select("zip", F.explode(F.concat(F.array("ring"), F.coalesce("holes", F.array()))).alias("ring"))
     corner = F.transform("ring", lambda p: F.struct(F.round(p["x"], digits).alias("x"), F.round(p["y"], digits).alias("y")))
     rings = polygons.filter(F.col("zip").isNotNull() & (F.size("ring") >= 3)).select(F.col("zip").cast("string").alias("zip"), corner.alias("c"))
     if kind == "queen":

@@ -1,8 +1,12 @@
+import math
+import random
 import struct
 
 import pytest
 
+from spatialpanel.functions.geometry import bridge, ear_clip, inside, signed_area
 from spatialpanel.operators.graph import contiguity_graph
+from spatialpanel.operators.spatial import points_in_regions
 from spatialpanel.sources import shapefile
 
 
@@ -39,6 +43,37 @@ def test_shapefile_to_contiguity(spark, tmp_path):
     assert {r.zip for r in shapefile.polygons_shp(spark, str(tmp_path / "one.shp")).collect()} == {"0", "1"}
 
 
+def test_holes(spark, tmp_path):
+    big = [(0.0, 0.0), (0.0, 10.0), (10.0, 10.0), (10.0, 0.0)]
+    hole, second = [(2.0, 2.0), (4.0, 2.0), (4.0, 4.0), (2.0, 4.0)], [(6.0, 6.0), (8.0, 6.0), (7.0, 8.0)]
+    island = [(2.0, 2.0), (2.0, 4.0), (4.0, 4.0), (4.0, 2.0)]
+    shapefile.write_shp(spark, str(tmp_path / "h"), [("big", [big, hole, second]), ("in", [island]), ("far", [[(20.0, 0.0), (21.0, 0.0), (21.0, 1.0)]]), ("none", [])])
+    rows = shapefile.polygons_shp(spark, str(tmp_path / "h.shp"), "ZIP")
+    assert {r.zip: (len(r.ring), len(r.holes)) for r in rows.collect()} == {"big": (4, 2), "in": (4, 0), "far": (3, 0)}
+    assert sorted((r.src, r.dst) for r in contiguity_graph(rows).edges.collect()) == [("big", "in"), ("in", "big")]
+    r = random.Random(2)
+    pts = [(str(i), r.uniform(-1, 11), r.uniform(-1, 11)) for i in range(2000)] + [("rim", 3.0, 2.0), ("corner", 7.0, 8.0)]
+    got = {x.id: x.zip for x in points_in_regions(spark.createDataFrame(pts, "id string, x double, y double"), rows, "id", "zip", "x", "y").collect()}
+
+    def region(x, y):
+        if inside(hole, (x, y)):
+            return "in"
+        return "big" if inside(big, (x, y)) and not inside(second, (x, y)) else None
+
+    assert {i: got.get(i) for i, _, _ in pts[:-2]} == {i: region(x, y) for i, x, y in pts[:-2]}
+    assert got["rim"] == got["corner"] == "big"
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_bridged_rings_have_the_right_area(seed):
+    r = random.Random(seed)
+    outer = [(math.cos(k * math.pi / 12) * r.uniform(8, 10), math.sin(k * math.pi / 12) * r.uniform(8, 10)) for k in range(24)]
+    holes = [[(x + r.uniform(0.3, 1) * math.cos(k), y + r.uniform(0.3, 1) * math.sin(k)) for k in range(6)] for x, y in r.sample([(x, y) for x in (-4, -1.5, 1.5, 4) for y in (-4, -1.5, 1.5, 4)], r.randrange(1, 8))]
+    ring = bridge(outer, holes)
+    cut = sum(abs(signed_area([ring[i] for i in t])) for t in ear_clip(ring))
+    assert cut == pytest.approx(abs(signed_area(outer)) - sum(abs(signed_area(h)) for h in holes))
+
+
 def test_bad_files(tmp_path):
     with pytest.raises(ValueError):
         shapefile.read_shp(b"x" * 200)
