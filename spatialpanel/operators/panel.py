@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import total
 from ..schema import PANEL_KEYS, feature_columns
+from ..session import materialise
+from .blocks import matrix
 
 MOST_DATES = 1_000_000
 
@@ -18,28 +25,44 @@ def dense_series(panel: DataFrame, geo: str = PANEL_KEYS[0], date: str = PANEL_K
     are not filled); a missing cell and a NULL or NaN value are 0. ValueError for
     an empty panel, no features, NULL keys or a repeated (geo, date).
 
-    Each geo's rows (at most one per date) become a map that is laid along the
-    axis: no cross join of geos and dates.
+    The panel is read once, folded by (geo, date) and written; one aggregate by
+    date over that gives the axis and all checks. A geo's rows (now at most one
+    per date) are then gathered and scattered into its series in Arrow batches:
+    the work is proportional to rows and result, and no geo meets all dates.
     """
     features = feature_columns(panel, (geo, date))
-    if panel.isEmpty():
+    value = lambda f: F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(None)), F.lit(0.0))
+    folded = panel.groupBy(geo, date).agg(F.count(F.lit(1)).alias("_n"), F.first(F.array(*[value(f) for f in features])).alias("_v"))
+    cells = materialise(folded.select(F.col(geo).alias("_g"), F.col(date).alias("_d"), "_n", "_v"), "panel")
+    per = cells.groupBy("_d").agg(F.max("_n").alias("most"), F.max(F.col("_g").isNull()).alias("no_geo")).limit(MOST_DATES + 1).collect()
+    if not per:
         raise ValueError("the panel is empty")
-    bad = panel.groupBy(geo, date).count().filter(F.col(geo).isNull() | F.col(date).isNull() | (F.col("count") > 1))
-    if not bad.isEmpty():
+    if any(r["_d"] is None or r.most > 1 or r.no_geo for r in per):
         raise ValueError("NULL or repeated (geo, date)")
-    axis_rows = panel.select(date).distinct().orderBy(date).limit(MOST_DATES + 1).collect()
-    if len(axis_rows) > MOST_DATES:
+    if len(per) > MOST_DATES:
         raise ValueError(f"more than {MOST_DATES} dates")
-    spark = panel.sparkSession
-    kind = panel.schema[date].dataType
-    axis = spark.createDataFrame([(i, r[0]) for i, r in enumerate(axis_rows)], f"_i int, _d {kind.simpleString()}")
-    placed = panel.join(F.broadcast(axis), F.col(date) == F.col("_d"))
-    clean = lambda f: F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(None)), F.lit(0.0))
-    cells = placed.groupBy(geo).agg(F.map_from_entries(F.collect_list(F.struct("_i", F.array(*[clean(f) for f in features])))).alias("_m"))
-    steps = F.sequence(F.lit(0), F.lit(len(axis_rows) - 1))
-    series = lambda k: F.transform(steps, lambda i: F.coalesce(F.get(F.try_element_at("_m", i), F.lit(k)), F.lit(0.0)))
-    wide = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), series(k).alias("xs")) for k, f in enumerate(features)]))
-    return cells.select(F.col(geo), wide.alias("_s")).select(geo, "_s.feature", "_s.xs")
+    axis_rows = sorted(r["_d"] for r in per)
+    kind, steps = panel.schema[date].dataType.simpleString(), len(axis_rows)
+    axis = panel.sparkSession.createDataFrame(list(enumerate(axis_rows)), f"_i int, _d {kind}")
+    gathered = cells.join(F.broadcast(axis), "_d").groupBy("_g").agg(F.collect_list(F.struct("_i", "_v")).alias("_c"))
+    at_once = max(1, 2_000_000 // (steps * len(features)))
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, at_once):
+                part = batch.slice(start, at_once)
+                listed = part.column(1)
+                row = np.repeat(np.arange(len(listed)), np.diff(listed.offsets.to_numpy()))
+                entries = listed.flatten()
+                x = np.zeros((len(listed), len(features), steps))
+                x[row, :, entries.field("_i").to_numpy()] = matrix(entries.field("_v"))
+                each = np.arange(len(listed) * len(features))
+                series = pa.ListArray.from_arrays(pa.array(np.arange(len(each) + 1) * steps, pa.int32()), pa.array(x.ravel()))
+                names = pa.array(features).take(pa.array(each % len(features)))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(each // len(features))), names, series], names=["_g", "feature", "xs"])
+
+    out = gathered.mapInArrow(scatter, f"_g {panel.schema[geo].dataType.simpleString()}, feature string, xs array<double>")
+    return out.withColumnRenamed("_g", geo)
 
 
 def horizon_split(series: DataFrame, horizon: int, column: str = "xs") -> DataFrame:
@@ -143,17 +166,17 @@ def convolve(xs: Column, kernel: list[float]) -> Column:
 def convolve_channels(series: DataFrame, kernels: list[list[list[float]]], bias: list[float], features: list[str], geo: str = PANEL_KEYS[0], column: str = "xs") -> DataFrame:
     """(geo, channel, ys): multi-channel convolution; kernels[out][in] over ``features`` in that order.
 
-    Each series is convolved where it is; the partial results of a geo's
-    features are summed step by step in one aggregate.
+    A geo's features are brought together once; its channels are then sums of
+    arrays in place. A feature that a geo lacks adds nothing; a geo with none of
+    them has no rows.
     """
-    order = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature")) - 1
+    picks = [F.first(F.when(F.col("feature") == f, F.col(column)), ignorenulls=True).alias(f"_f{i}") for i, f in enumerate(features)]
+    wide = series.filter(F.col("feature").isin(features)).groupBy(geo).agg(*picks)
+    longest = F.greatest(F.lit(0), *[F.coalesce(F.size(f"_f{i}"), F.lit(0)) for i in range(len(features))])
+    wide = wide.withColumn("_n", longest).select(geo, *[F.coalesce(F.col(f"_f{i}"), F.array_repeat(F.lit(0.0), F.col("_n"))).alias(f"_f{i}") for i in range(len(features))])
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))
     outs = []
     for o, per_in in enumerate(kernels):
-        choose = F.lit(None)
-        for i, k in enumerate(per_in):
-            choose = F.when(F.col("_f") == i, convolve(F.col(column), k)).otherwise(choose)
-        outs.append(F.struct(F.lit(o).alias("channel"), F.lit(float(bias[o])).alias("b"), choose.alias("ys")))
-    parts = series.withColumn("_f", order).filter("_f >= 0").select(geo, F.explode(F.array(*outs)).alias("o"))
-    steps = parts.select(geo, "o.channel", "o.b", F.posexplode("o.ys").alias("t", "y"))
-    summed = steps.groupBy(geo, "channel", "t").agg((F.sum("y") + F.first("b")).alias("y"))
-    return summed.groupBy(geo, "channel").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "y"))), lambda s: s["y"]).alias("ys"))
+        parts = [convolve(F.col(f"_f{i}"), k) for i, k in enumerate(per_in)]
+        outs.append(F.struct(F.lit(o).alias("channel"), F.transform(reduce(plus, parts), lambda y, o=o: y + F.lit(float(bias[o]))).alias("ys")))
+    return wide.select(geo, F.explode(F.array(*outs)).alias("o")).select(geo, "o.channel", "o.ys")
