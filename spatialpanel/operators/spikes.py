@@ -40,14 +40,23 @@ class SpikeModel:
     z: float = 4.1  # the same deviation in standard deviations of the normal state
     to_spike: float = 0.01
     stay_spike: float = 0.1
-    to_stuck: float = 0.001
     stay_stuck: float = 0.9
+    equal: float = 0.03  # how often an ordinary value equals a neighbour
+    held: float = 0.999  # how often a stuck one does
     to_out: float = 0.005
     stay_out: float = 0.1
     spike_density: float = 1 / 24  # uniform over 12 doublings either way
     block: int = 4096  # readings of a source judged together
     context: int = 256  # readings of the neighbouring blocks seen with them
 
+    def moves(self) -> np.ndarray:
+        """Transition probabilities. A run of equal values turns from normal to stuck between run - 1 and run values: that sets how seldom a source gets stuck."""
+        stay, turn = 1 - self.to_spike - self.to_out, self.run - 0.5
+        to_stuck = stay ** (turn + 1) / ((self.held / self.equal) ** turn * self.stay_stuck ** (turn - 1) * (1 - self.stay_stuck))
+        move = np.array([[stay - to_stuck, self.to_spike, to_stuck, self.to_out], [1 - self.stay_spike, self.stay_spike, 0, 0], [1 - self.stay_stuck, 0, self.stay_stuck, 0], [1 - self.stay_out, 0, 0, self.stay_out]])
+        move[SPIKE:, :] = 0.999 * move[SPIKE:, :] + 0.001 * move[NORMAL]
+        return move
+
 
 def _local_median(x: np.ndarray, group: np.ndarray, half: int) -> np.ndarray:
     """Median of up to 2 * half + 1 values around each, within its group (sorted by group)."""
@@ -70,23 +79,34 @@ def _runs(x: np.ndarray, group: np.ndarray) -> np.ndarray:
     return np.bincount(run)[run]
 
 
-def _forward_backward(emission: np.ndarray, lengths: np.ndarray, m: SpikeModel) -> np.ndarray:
-    """Posterior (G, T, 4) of sequences padded to T; vectorised over the sequences."""
+def _forward_backward(emission: np.ndarray, linked: np.ndarray, lengths: np.ndarray, m: SpikeModel) -> np.ndarray:
+    """Posterior (G, T, 4) of sequences padded to T; vectorised over the sequences.
+
+    Only a value equal to the one before (``linked``) can be stuck with it; else
+    a new run begins, as likely as after a normal reading. A sequence begins and
+    ends as if normal readings stood around it.
+    """
     n, steps, k = emission.shape
-    stay = 1 - m.to_spike - m.to_stuck - m.to_out
-    move = np.array([[stay, m.to_spike, m.to_stuck, m.to_out], [1 - m.stay_spike, m.stay_spike, 0, 0], [1 - m.stay_stuck, 0, m.stay_stuck, 0], [1 - m.stay_out, 0, 0, m.stay_out]])
-    move[SPIKE:, :] = 0.999 * move[SPIKE:, :] + 0.001 * move[NORMAL]
+    move = m.moves()
+    lost = (move[STUCK, STUCK] - move[STUCK, NORMAL] * move[NORMAL, STUCK] / move[NORMAL, NORMAL]) * (1.0 - linked)
     a = np.empty_like(emission)
     now = np.tile(move[NORMAL], (n, 1))
     for t in range(steps):
-        now = (now if t == 0 else now @ move) * emission[:, t]
+        if t:
+            held = now[:, STUCK] * lost[:, t]
+            now = now @ move
+            now[:, STUCK] -= held
+        now = now * emission[:, t]
         now /= now.sum(1, keepdims=True)
         a[:, t] = now
-    b = np.ones((n, k))
+    b = np.tile(move[:, NORMAL], (n, 1))
+    a[:, steps - 1] *= b
     for t in range(steps - 2, -1, -1):
-        b = (b * emission[:, t + 1]) @ move.T
+        after = b * emission[:, t + 1]
+        b = after @ move.T
+        b[:, STUCK] -= after[:, STUCK] * lost[:, t + 1]
         b /= b.sum(1, keepdims=True)
-        b[lengths <= t + 1] = 1.0
+        b[lengths <= t + 1] = move[:, NORMAL]
         a[:, t] *= b
     return a / a.sum(2, keepdims=True)
 
@@ -113,19 +133,21 @@ def judge(value: np.ndarray, group: np.ndarray, m: SpikeModel, known: np.ndarray
     quartile = np.array([k if k == k else np.quantile(q, 0.75) if len(q := np.abs(deviation[s : s + n])[~out[s : s + n]]) else 0.0 for s, n, k in zip(starts, lengths, known)])
     sigma = (m.reach / m.z * (m.floor + quartile))[group]
     runs = _runs(value, group)
-    same = np.where(runs > 1, 1.0, 0.0)
+    same = runs > 1
     dense = np.exp(-0.5 * np.minimum((deviation / sigma) ** 2, 400.0)) / (sigma * np.sqrt(2 * np.pi))
     e = np.empty((len(value), 4))
-    e[:, NORMAL] = dense * np.where(same > 0, 0.03, 0.97)
-    e[:, SPIKE] = m.spike_density * np.where(same > 0, 0.03, 0.97)
-    e[:, STUCK] = dense * np.where(same > 0, 0.999, 0.001)
+    e[:, NORMAL] = dense * np.where(same, m.equal, 1 - m.equal)
+    e[:, SPIKE] = m.spike_density * np.where(same, m.equal, 1 - m.equal)
+    e[:, STUCK] = dense * np.where(same, m.held, 1 - m.held)
     e[:, OUT] = 1e-12
     e[out] = (1e-12, 1e-12, 1e-12, 1.0)
     e = np.maximum(e, 1e-90)
     padded = np.ones((len(lengths), lengths.max(), 4))
     at = np.arange(len(value)) - starts[group]
     padded[group, at] = e
-    return _forward_backward(padded, lengths, m)[group, at], runs, deviation
+    linked = np.zeros(padded.shape[:2])
+    linked[group, at] = np.r_[False, (value[1:] == value[:-1]) & (group[1:] == group[:-1])] if len(value) else 0.0
+    return _forward_backward(padded, linked, lengths, m)[group, at], runs, deviation
 
 
 SCHEMA = "geo_id string, reading_id bigint, value double, deviation double, p_normal double, p_spike double, p_stuck double, p_out double, flag string"
@@ -149,8 +171,8 @@ def _flagger(m: SpikeModel) -> Callable[[pa.Table], pa.RecordBatch]:
         known = t["quartile"].to_numpy()[np.flatnonzero(np.r_[True, group[1:] != group[:-1]])]
         posterior, runs, deviation = judge(value, group, m, known)
         flag = np.where(posterior[:, SPIKE] > 0.5, "spike", None)
-        flag = np.where((runs >= m.run), "stuck", flag)
-        flag = np.where(~((value >= m.low) & (value <= m.high)), "out_of_range", flag)
+        flag = np.where((posterior[:, STUCK] > 0.5) | (runs >= m.run), "stuck", flag)
+        flag = np.where((posterior[:, OUT] > 0.5) | ~((value >= m.low) & (value <= m.high)), "out_of_range", flag)
         cols = [t["geo_id"].combine_chunks(), t["reading_id"].combine_chunks(), pa.array(value), pa.array(deviation), *[pa.array(posterior[:, k]) for k in range(4)], pa.array(flag, pa.string())]
         core = t["core"].combine_chunks()
         return pa.RecordBatch.from_arrays([c.filter(core) for c in cols], names=names)
@@ -211,10 +233,12 @@ def flag_readings(readings: DataFrame, value: str = "spend", model: SpikeModel |
     """Every reading with its deviation, state probabilities and flag.
 
     ``readings`` is (geo_id, date, reading_id, value) with unique (geo_id, date)
-    and no NULL or NaN values, as ``usable_readings`` gives. flag is
-    ``out_of_range`` (outside [low, high]), else ``stuck`` (in a run of at least
-    ``run`` equal consecutive values), else ``spike`` (probability over one
-    half), else NULL. A source with a single reading has deviation 0.
+    and no NULL or NaN values, as ``usable_readings`` gives. flag is the state
+    whose probability is over one half, none for normal; the hard bounds stand
+    above the model: a value outside [low, high] is ``out_of_range``, one in a run
+    of at least ``run`` equal consecutive values is ``stuck`` whatever else it
+    may be. The model is set so that it calls shorter runs normal by itself. A
+    source with a single reading has deviation 0.
 
     A source is judged in blocks of ``block`` consecutive readings, each seen
     with ``context`` readings either side, so a source of any size is spread

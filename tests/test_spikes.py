@@ -79,6 +79,22 @@ def test_small_and_odd_sources(spark):
     assert flags(spark, []) == {}
 
 
+def test_the_model_alone_finds_runs_and_impossible_values():
+    rng = np.random.default_rng(4)
+    value, want = [], []
+    for n in [5, 6, 1, 2, 5, 5, 9, 3, 6, 6, 4, 1, 8, 5, 30, 2, 5] * 3:  # runs next to each other
+        value += [100 * np.exp(rng.normal(0, 0.05))] * n
+        want += [n >= 6] * n
+    for lead in (0, 7):  # also at the ends of a source
+        v = np.r_[100 * np.exp(rng.normal(0, 0.05, lead)), value]
+        p, _, _ = judge(v, np.zeros(len(v), int), SpikeModel())
+        assert (p[:, 2] > 0.5).tolist() == [False] * lead + want
+        p, _, _ = judge(v[::-1].copy(), np.zeros(len(v), int), SpikeModel())
+        assert (p[::-1, 2] > 0.5).tolist() == [False] * lead + want
+    p, _, _ = judge(np.array([1.0, -3.0, 1.1, 9e6, 1.05]), np.zeros(5, int), SpikeModel())
+    assert (p[:, 3] > 0.5).tolist() == [False, True, False, True, False]
+
+
 def test_many_sources_in_one_call():
     rng = np.random.default_rng(0)
     value, group = 100 * np.exp(rng.normal(0, 0.05, 5000)), np.repeat(np.arange(50), 100)
