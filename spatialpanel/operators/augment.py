@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,20 +80,37 @@ class AugmentationLogger:
     def __init__(self) -> None:
         self._entries: list[dict] = []
 
-    def log_augmentation(self, method: str, params: dict, input_shape: list[int], output_shape: list[int]) -> None:
-        self._entries.append({"method": method, "params": {k: str(v) for k, v in params.items()}, "input_shape": list(input_shape), "output_shape": list(output_shape)})
+    def log_augmentation(self, method: str, params: dict, input_shape: list[int] | Callable[[], list[int]], output_shape: list[int] | Callable[[], list[int]]) -> None:
+        """Append an entry. A shape may be a function: it is asked when the log is first read, so that logging runs no job."""
+        self._entries.append({"method": method, "params": {k: str(v) for k, v in params.items()}, "input_shape": input_shape, "output_shape": output_shape})
 
-    def get_logs(self) -> list[dict]:
-        return list(self._entries)
+    def get_logs(self, last: int | None = None) -> list[dict]:
+        """A copy of the log, or of its ``last`` entries."""
+        found = self._entries[-last:] if last else self._entries if last is None else []
+        for e in found:
+            for k in ("input_shape", "output_shape"):
+                e[k] = list(e[k]() if callable(e[k]) else e[k])
+        return [dict(e) for e in found]
 
     def clear_logs(self) -> None:
         self._entries.clear()
 
-    def to_frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(e["method"], e["params"], e["input_shape"], e["output_shape"]) for e in self._entries]
+    def to_frame(self, spark: SparkSession, last: int | None = None) -> DataFrame:
+        rows = [(e["method"], e["params"], e["input_shape"], e["output_shape"]) for e in self.get_logs(last)]
         return spark.createDataFrame(rows, "method string, params map<string,string>, input_shape array<int>, output_shape array<int>")
 
 
+def _shape(df: DataFrame, column: str) -> Callable[[], list[int]]:
+    """[series, steps of the longest], found once when asked."""
+
+    @lru_cache(maxsize=1)
+    def find() -> list[int]:
+        r = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(column)).alias("t")).first()
+        return [r.n, r.t or 0]
+
+    return find
+
+
 _LOGGER = AugmentationLogger()
 METHODS = {"jitter": ("noise_std",), "mask": ("mask_prob", "mask_value", "mask_mode"), "crop": ("crop_ratio",)}
 
@@ -113,7 +132,8 @@ def augment(df: DataFrame, method: str, key: str, column: str = "xs", out: str |
     else:
         new = crop(xs, seed=seed, stream=name, **used)
     if not (method == "crop" and used.get("crop_ratio") == 1):
-        _LOGGER.log_augmentation(method, used, [], [])
+        shape = _shape(df, column)  # no method changes the number or the length of series
+        _LOGGER.log_augmentation(method, used, shape, shape)
     return df.withColumn(out or column, new)
 
 
@@ -125,3 +145,36 @@ def augmented_pair(df: DataFrame, key: str, column: str = "xs", aug1_method: str
     own = lambda m: {k[len(m) + 1 :]: v for k, v in params.items() if k.startswith(m + "_")}
     one = augment(df, aug1_method, key, column, "view1", seed, "view1", **own(aug1_method))
     return augment(one, aug2_method, key, column, "view2", seed, "view2", **own(aug2_method))
+
+
+#: The two views of a contrastive loss where nothing else is said.
+DEFAULT_VIEWS = {"aug1_method": "jitter", "aug2_method": "crop", "jitter_noise_std": 0.01, "crop_crop_ratio": 0.8}
+
+
+def augmented_array(x: np.ndarray, method: str, rng: np.random.Generator, noise_std: float = 0.01, mask_prob: float = 0.1, mask_value: float = 0.0, mask_mode: str = "random", crop_ratio: float = 0.8) -> np.ndarray:
+    """A training block (geos, channels, steps) augmented as ``augment`` does columns, from numpy's generator."""
+    steps = x.shape[-1]
+    if method == "jitter":
+        return x + noise_std * rng.normal(size=x.shape)
+    if method == "mask":
+        if mask_mode == "random":
+            return np.where(rng.random(x.shape) < mask_prob, mask_value, x)
+        size = max(1, int(steps * mask_prob)) if mask_prob else 0
+        start = rng.integers(0, steps - size + 1, x.shape[:-1])[..., None]
+        at = np.arange(steps)
+        return np.where((at >= start) & (at < start + size), mask_value, x)
+    if method != "crop":
+        raise ValueError(f"unknown method {method!r}")
+    part = int(steps * crop_ratio)
+    if not 2 <= part < steps:
+        return x
+    place = int(rng.integers(0, steps - part + 1)) + np.arange(steps) * (part - 1) / (steps - 1)
+    low = np.floor(place).astype(int)
+    high = np.minimum(low + 1, steps - 1)
+    return x[..., low] + (x[..., high] - x[..., low]) * (place - low)
+
+
+def array_pair(x: np.ndarray, rng: np.random.Generator, aug1_method: str = "jitter", aug2_method: str = "crop", **params) -> list[np.ndarray]:
+    """Both views of a training block; parameters carry their method's name as prefix."""
+    own = lambda m: {k[len(m) + 1 :]: v for k, v in params.items() if k.startswith(m + "_")}
+    return [augmented_array(x, m, rng, **own(m)) for m in (aug1_method, aug2_method)]

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import literal, relu, times_vector
 from ..session import materialise
+from . import losses
+from .augment import DEFAULT_VIEWS, array_pair, augmented_pair
 from .blocks import matrix
 from .graph import Graph, neighbour_sum
 
@@ -39,7 +41,9 @@ class EncoderConfig:
     loss_type: str = "reconstruction"
     loss_weights: dict = field(default_factory=lambda: dict(DEFAULT_WEIGHTS))
     temperature: float = 0.1
-    noise_std: float = 0.05
+    use_memory_bank: bool = False  # of a contrastive loss: negatives from a ring buffer of earlier embeddings
+    memory_bank_size: int = 4096
+    augmentation: dict = field(default_factory=lambda: dict(DEFAULT_VIEWS))  # the two views of a contrastive loss
     seed: int = 0
     max_geos: int = 20_000  # of a contrastive loss, which compares all pairs; more are an error
 
@@ -136,36 +140,90 @@ def _backward(f: dict, dz: np.ndarray, dt: np.ndarray, adj: list[np.ndarray], p:
 
 
 def _contrast(a: np.ndarray, b: np.ndarray, temperature: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """Loss and gradients of the contrastive loss of ``losses.nt_xent``."""
+    """Loss and gradients of the contrastive loss of ``losses.nt_xent``, in blocks of rows."""
     z = np.concatenate([a, b])
     size = np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
     v = z / size
     m, half = len(z), len(a)
-    s = v @ v.T / temperature
-    i = np.arange(m)
-    j = (i + half) % m
-    pos = s[i, j]
-    s[i, i] = -np.inf
-    top = s.max(1, keepdims=True)
-    w = np.exp(s - top)
-    w[i, j] *= 2
-    total = w.sum(1, keepdims=True)
-    loss = float((np.log(total[:, 0]) + top[:, 0] - pos).mean())
-    ds = w / total
-    ds[i, j] -= 1
-    dv = (ds + ds.T) @ v / (temperature * m)
+    loss, dv = 0.0, np.zeros_like(v)
+    for at in range(0, m, SLICE):
+        i = np.arange(at, min(at + SLICE, m))
+        k, j = np.arange(len(i)), (i + half) % m
+        s = v[i] @ v.T / temperature
+        pos = s[k, j]
+        s[k, i] = -np.inf
+        top = s.max(1, keepdims=True)
+        w = np.exp(s - top)
+        w[k, j] *= 2
+        total = w.sum(1, keepdims=True)
+        loss += float((np.log(total[:, 0]) + top[:, 0] - pos).sum())
+        w /= total
+        w[k, j] -= 1
+        dv[i] += w @ v
+        dv += w.T @ v[i]
+    dv /= temperature * m
     dz = (dv - v * (dv * v).sum(1, keepdims=True)) / size
-    return loss, dz[:half], dz[half:]
-
-
-def loss_and_gradients(x: np.ndarray, adj: list[np.ndarray], p: dict, c: EncoderConfig, rng: np.random.Generator, own: int | None = None, geos: int | None = None) -> tuple[float, dict]:
-    """The configured loss on all geos at once, and its gradients.
+    return loss / m, dz[:half], dz[half:]
+
+
+@dataclass
+class MemoryBank:
+    """A ring buffer of unit vectors, written from ``pointer`` on."""
+
+    vectors: np.ndarray
+    pointer: int = 0
+
+    @staticmethod
+    def new(c: EncoderConfig) -> MemoryBank:
+        v = np.random.default_rng(c.seed + 2).normal(size=(c.memory_bank_size, c.embedding_dim))
+        return MemoryBank(v / np.linalg.norm(v, axis=1, keepdims=True))
+
+    def write(self, unit: np.ndarray) -> None:
+        """Of more rows than slots the last ones stay."""
+        size = len(self.vectors)
+        at = (self.pointer + np.arange(len(unit))) % size
+        self.vectors[at[-size:]] = unit[-size:]
+        self.pointer = (self.pointer + len(unit)) % size
+
+
+def _bank_contrast(a: np.ndarray, b: np.ndarray, bank: MemoryBank, temperature: float, write: bool = True) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss and gradients of ``losses.bank_loss``; then both views go into the bank. The bank itself is no variable."""
+    sizes = [np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12) for z in (a, b)]
+    views = [a / sizes[0], b / sizes[1]]
+    grads, loss, n = [np.zeros_like(a), np.zeros_like(b)], 0.0, len(a)
+    for at in range(0, n, SLICE):
+        part = slice(at, at + SLICE)
+        p = (views[0][part] * views[1][part]).sum(1) / temperature
+        for mine in (0, 1):
+            s = np.concatenate([p[:, None], views[mine][part] @ bank.vectors.T / temperature], axis=1)
+            top = s.max(1, keepdims=True)
+            w = np.exp(s - top)
+            total = w.sum(1, keepdims=True)
+            loss += float((np.log(total[:, 0]) + top[:, 0] - p).sum())
+            w /= total
+            w[:, 0] -= 1
+            grads[mine][part] += w[:, 1:] @ bank.vectors + w[:, :1] * views[1 - mine][part]
+            grads[1 - mine][part] += w[:, :1] * views[mine][part]
+    out = []
+    for d, v, size in zip(grads, views, sizes):
+        d = d / (2 * n * temperature)
+        out.append((d - v * (d * v).sum(1, keepdims=True)) / size)
+    if write:
+        for v in views:
+            bank.write(v)
+    return loss / (2 * n), *out
+
+
+def loss_and_gradients(x: np.ndarray, adj: list[np.ndarray], p: dict, c: EncoderConfig, rng: np.random.Generator, own: int | None = None, geos: int | None = None, bank: MemoryBank | None = None) -> tuple[float, dict]:
+    """The configured loss on all geos at once, and its gradients; a ``bank`` is written to.
 
     With ``own`` and ``geos`` the share that the first ``own`` rows have in the
     loss over ``geos`` geos; the other rows are neighbours only. The shares of
     all geos add up to loss and gradients of the whole, but not for the
     contrastive loss, which compares all with all.
     """
+    if c.use_memory_bank and bank is None:
+        bank = MemoryBank.new(c)
     own, geos = len(x) if own is None else own, len(x) if geos is None else geos
     g = {k: np.zeros_like(v) for k, v in p.items()}
     weights = _weights(c)
@@ -180,8 +238,9 @@ def loss_and_gradients(x: np.ndarray, adj: list[np.ndarray], p: dict, c: Encoder
         g["dec_bias"] += dr.sum(0)
         _backward(f, dr @ p["dec"], -dr, adj, p, g)
     if w := weights.get("contrastive"):
-        views = [_forward(x + c.noise_std * rng.normal(size=x.shape), adj, p) for _ in range(2)]
-        part, da, db = _contrast(views[0]["z"], views[1]["z"], c.temperature)
+        views = [_forward(v, adj, p) for v in array_pair(x, rng, **c.augmentation)]
+        za, zb = views[0]["z"], views[1]["z"]
+        part, da, db = _bank_contrast(za, zb, bank, c.temperature) if c.use_memory_bank else _contrast(za, zb, c.temperature)
         loss += w * part
         for f, d in zip(views, (da, db)):
             _backward(f, w * d, np.zeros_like(f["t"]), adj, p, g)
@@ -290,11 +349,46 @@ def fit(series: DataFrame, g: Graph, c: EncoderConfig, features: list[str], geo:
     p = initial_params(c)
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
     rng, history = np.random.default_rng(c.seed + 1), []
+    bank = MemoryBank.new(c) if c.use_memory_bank else None
     for step in range(1, c.epochs + 1):
-        loss, grad = loss_and_gradients(x, adj, p, c, rng) if whole else _shares(blocks, p, c, r.n)
+        loss, grad = loss_and_gradients(x, adj, p, c, rng, bank=bank) if whole else _shares(blocks, p, c, r.n)
         history.append(loss)
         for k in p:
             m[k] = 0.9 * m[k] + 0.1 * grad[k]
             v[k] = 0.999 * v[k] + 0.001 * grad[k] ** 2
             p[k] = p[k] - c.lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
     return p, history
+
+
+def validation_losses(series: DataFrame, g: Graph, params: dict[str, np.ndarray], c: EncoderConfig, features: list[str], geo: str = "geo_id", bank: DataFrame | None = None) -> DataFrame:
+    """(loss, value): each configured loss of a model on ``series`` and their weighted sum ``total``; nothing is learnt.
+
+    A DataFrame plan at any size, with the losses of ``losses``; a contrastive
+    loss takes one batch there. ``bank`` (slot, vec) is the memory bank to
+    compare with, by default a new one if the configuration asks for one.
+    """
+    keyed = materialise(series.select(F.col(geo).cast("string").alias("zip"), "feature", "xs"), "series")
+    g = Graph(g.nodes, materialise(g.edges, "edges"))
+    model = lambda df, column: encode(df.select("zip", "feature", F.col(column).alias("xs")), g, params, features, "zip")
+    parts: dict[str, DataFrame] = {}
+    weights = _weights(c)
+    if weights.get("reconstruction"):
+        seen = materialise(temporal_features(keyed, params, features, "zip"), "features")
+        decoded = F.zip_with(times_vector(literal(params["dec"]), F.col("embedding")), literal(params["dec_bias"]), lambda a, b: a + b)
+        parts["reconstruction"] = losses.reconstruction_loss(graph_layer(seen, g, params).withColumn("out", decoded).join(seen, "zip"), "out", "vec")
+    if weights.get("contrastive"):
+        views = augmented_pair(keyed.withColumn("_key", F.concat_ws("/", "zip", "feature")), "_key", seed=c.seed, **c.augmentation)
+        pairs = model(views, "view1").select("zip", F.col("embedding").alias("a")).join(model(views, "view2").select("zip", F.col("embedding").alias("b")), "zip")
+        if c.use_memory_bank or bank is not None:
+            bank = losses.new_bank(series.sparkSession, c.embedding_dim, c.memory_bank_size, c.seed) if bank is None else bank
+            parts["contrastive"] = losses.bank_loss(pairs, bank, "a", "b", c.temperature)
+        else:
+            parts["contrastive"] = losses.nt_xent(pairs, "zip", "a", "b", c.temperature)
+    if weights.get("predictive"):
+        half = F.expr("size(xs) div 2")
+        cut = keyed.withColumn("past", F.slice("xs", F.lit(1), half)).withColumn("future", F.slice("xs", half + 1, F.size("xs") - half))
+        both = model(cut, "past").join(model(cut, "future").select("zip", F.col("embedding").alias("later")), "zip")
+        parts["predictive"] = losses.predictive_loss(both, "embedding", "later")
+    rows = {name: df.first()["loss"] for name, df in parts.items()}
+    rows["total"] = float(sum(weights[k] * v for k, v in rows.items()))
+    return series.sparkSession.createDataFrame(list(rows.items()), "loss string, value double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,14 @@ from .blocks import matrix
 
 #: Most vectors of a batch or memory bank that are broadcast.
 MOST_VECTORS = 65_536
+#: Rows compared with all of them at once: 512 x 65,536 similarities are 268 MB.
+BLOCK = 512
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK):
+            yield batch.slice(at, BLOCK)
 
 
 def mse(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -55,7 +65,7 @@ def nt_xent(pairs: DataFrame, key: str, a: str, b: str, temperature: float = 0.1
 
     def score(batches):
         z, name, order = sent.value
-        for batch in batches:
+        for batch in _slices(batches):
             keys, sides = batch.column("key").to_pylist(), batch.column("side").to_pylist()
             find = lambda names: order[np.searchsorted(name, names, sorter=order)]
             own, other = find([f"{k}|{s}" for k, s in zip(keys, sides)]), find([f"{k}|{1 - s}" for k, s in zip(keys, sides)])
@@ -89,7 +99,7 @@ def bank_loss(pairs: DataFrame, bank: DataFrame, a: str, b: str, temperature: fl
 
     def score(batches):
         m = spread.value
-        for batch in batches:
+        for batch in _slices(batches):
             za, zb = matrix(batch.column("a")), matrix(batch.column("b"))
             p = (za * zb).sum(1) / temperature
             out = []

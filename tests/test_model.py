@@ -88,10 +88,13 @@ def test_encoding_equals_numpy(spark, k):
     assert all(np.allclose(back[n], p[n]) for n in p)
 
 
-@pytest.mark.parametrize("loss", ["reconstruction", "contrastive", "predictive", "multi"])
-def test_gradients(loss):
+@pytest.mark.parametrize("loss", ["reconstruction", "contrastive", "predictive", "multi", "bank"])
+def test_gradients(loss, monkeypatch):
+    monkeypatch.setattr(encoder, "SLICE", 4)
     r = np.random.default_rng(1)
-    c = encoder.EncoderConfig(2, 4, 3, 3, loss_type=loss, temperature=0.5, loss_weights={"reconstruction": 1.0, "contrastive": 0.5, "predictive": 0.25})
+    c = encoder.EncoderConfig(2, 4, 3, 3, loss_type="multi" if loss == "bank" else loss, temperature=0.5, loss_weights={"reconstruction": 1.0, "contrastive": 0.5, "predictive": 0.25})
+    if loss == "bank":
+        c = encoder.EncoderConfig(2, 4, 3, 3, loss_type="contrastive", temperature=0.5, use_memory_bank=True, memory_bank_size=7, augmentation={"aug1_method": "mask", "aug2_method": "crop", "mask_mask_prob": 0.3})
     x, p = r.normal(size=(6, 2, 9)), encoder.initial_params(c)
     adj = [np.array([0, 1, 2, 3, 4, 5, 0]), np.array([1, 0, 3, 2, 5, 4, 5])]
     value = lambda: encoder.loss_and_gradients(x, adj, p, c, np.random.default_rng(5))
@@ -107,6 +110,37 @@ def test_gradients(loss):
             assert g[name][at] == pytest.approx((up - down) / 2e-6, abs=2e-5)
 
 
+def test_contrast_equals_the_plain_loss_and_the_bank_is_a_ring():
+    r = np.random.default_rng(3)
+    a, b = r.normal(size=(300, 4)), r.normal(size=(300, 4))
+    assert encoder._contrast(a, b, 0.5)[0] == pytest.approx(plain_nt_xent(a, b, 0.5))
+    c = encoder.EncoderConfig(2, embedding_dim=4, use_memory_bank=True, memory_bank_size=50)
+    bank = encoder.MemoryBank.new(c)
+    m, unit = bank.vectors.copy(), lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = []
+    for u, w in ((unit(a), unit(b)), (unit(b), unit(a))):
+        p = (u * w).sum(1) / 0.5
+        want.append(np.mean(np.log(np.exp(p) + np.exp(u @ m.T / 0.5).sum(1)) - p))
+    assert encoder._bank_contrast(a, b, bank, 0.5)[0] == pytest.approx(np.mean(want))
+    assert bank.pointer == 0 and np.allclose(bank.vectors, unit(b)[-50:])
+    bank.write(unit(a)[:7])
+    assert bank.pointer == 7 and np.allclose(bank.vectors[:7], unit(a)[:7]) and np.allclose(bank.vectors[7:], unit(b)[-43:])
+
+
+@pytest.mark.parametrize("loss", ["reconstruction", "contrastive", "predictive", "multi"])
+def test_validation_equals_the_training_loss(spark, loss):
+    s, g, x = toy(spark, geos=6, steps=12)
+    c = encoder.EncoderConfig(2, 5, 3, 3, loss_type=loss, loss_weights={"reconstruction": 1.0, "predictive": 0.5}, use_memory_bank=loss == "contrastive", memory_bank_size=16)
+    p = encoder.initial_params(c)
+    got = {r.loss: r.value for r in encoder.validation_losses(s, g, p, c, ["f0", "f1"]).collect()}
+    adj = [np.array([i for i in range(6) for j in range(6) if i != j]), np.array([j for i in range(6) for j in range(6) if i != j])]
+    if loss == "contrastive":
+        assert set(got) == {loss, "total"} and got["total"] == got[loss] > 0
+    else:
+        assert got["total"] == pytest.approx(encoder.loss_and_gradients(x, adj, p, c, None)[0])
+        assert len(got) == (3 if loss == "multi" else 2)
+
+
 def test_overfit_and_spread(spark):
     s, g, _ = toy(spark)
     c = encoder.EncoderConfig(2, 8, 3, 4, lr=0.01, epochs=100)

@@ -119,5 +119,8 @@ def test_pair_and_log(spark):
     r = augment.augmented_pair(s, "geo_id", aug1_method="mask", aug2_method="jitter", seed=1, mask_mask_prob=0.9, jitter_noise_std=0.5, ignored=1).first()
     assert r.view1 != r.xs and r.view2 != r.xs and r.view1.count(0.0) > 10
     assert [e["method"] for e in log.get_logs()] == ["mask", "jitter"] and log.to_frame(spark).first().params == {"mask_prob": "0.9"}
+    assert [e["input_shape"] for e in log.get_logs()] == [[2, 20]] * 2 and [e["method"] for e in log.get_logs(last=1)] == ["jitter"]
+    log.get_logs()[0]["method"] = "other"
+    assert log.get_logs()[0]["method"] == "mask" and log.get_logs(last=0) == []
     log.clear_logs()
     assert log.get_logs() == []
