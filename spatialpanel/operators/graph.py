@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schema import require_columns
-from ..session import materialise
-from .skew import join_group_facts
+from ..session import discard, materialise
+from .skew import join_group_facts, salted
+
+#: A node with more edges than this is a hub: its edges are dealt over several tasks where they meet a fact of the node.
+HUB = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -79,9 +82,9 @@ def same_nodes(g: Graph, order: DataFrame) -> bool:
 def align_graph(g: Graph, order: DataFrame) -> Graph:
     """The graph restricted to the zips of ``order`` (zip, pos); edges to dropped nodes go too.
 
-    ValueError naming up to five requested zips that the graph lacks.
+    ValueError naming the first five requested zips that the graph lacks.
     """
-    gone = [r.zip for r in missing_nodes(g, order).limit(6).collect()]
+    gone = [r.zip for r in missing_nodes(g, order).orderBy("zip").limit(6).collect()]
     if gone:
         raise ValueError(f"zips not in the graph: {gone[:5]}{' ...' if len(gone) > 5 else ''}")
     keys = order.select("zip")
@@ -139,7 +142,9 @@ def knn_edges(points: DataFrame, k: int, key: str = "geo_id", x: str = "latitude
     asked = cell(chosen).withColumn("ox", around).withColumn("oy", around).select("x", "y", "level", (F.col("ix") + F.col("ox")).alias("ix"), (F.col("iy") + F.col("oy")).alias("iy"))
     offered = cell(near_ids.withColumn("level", F.explode(F.array(*[F.lit(v) for v in used])))).select("level", "ix", "iy", F.col("id").alias("dst"), F.col("x").alias("_x"), F.col("y").alias("_y"))
     d2 = F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2)
-    met = asked.join(offered, ["level", "ix", "iy"]).select("x", "y", "dst", d2.alias("d2"))
+    cells = ["level", "ix", "iy"]  # a coarse cell, asked for by far places, offers very many
+    many, few = salted(offered, asked, cells, near_ids.count() * len(used))
+    met = many.join(few, [*cells, "_salt"]).select("x", "y", "dst", d2.alias("d2"))
     first = F.row_number().over(Window.partitionBy("x", "y").orderBy("d2", "dst"))
     best = met.withColumn("r", first).filter(F.col("r") <= k + 1).groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct("r", "dst"))).alias("_near"))
     sized = good.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).join(best, ["x", "y"]).select(F.xxhash64("x", "y").alias("h"), F.col("x").alias("_px"), F.col("y").alias("_py"), "n", "_near")
@@ -163,7 +168,8 @@ def radius_graph(points: DataFrame, radius: float, key: str = "geo_id", x: str =
     near = cells.withColumn("ox", step).withColumn("oy", step).select("src", "x", "y", (F.col("ix") + F.col("ox")).alias("ix"), (F.col("iy") + F.col("oy")).alias("iy"))
     other = cells.select(F.col("src").alias("dst"), F.col("x").alias("_x"), F.col("y").alias("_y"), "ix", "iy")
     close = F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2) <= radius * radius
-    met = near.join(other, ["ix", "iy"]).filter(F.col("src") != F.col("dst")).filter(close)
+    many, few = salted(other, near, ["ix", "iy"])
+    met = many.join(few, ["ix", "iy", "_salt"]).filter(F.col("src") != F.col("dst")).filter(close)
     return Graph(good.select(F.col("src").alias("zip")).distinct(), met.select("src", "dst").distinct().withColumn("weight", F.lit(1.0)))
 
 
@@ -245,9 +251,11 @@ def components(g: Graph, max_rounds: int = 60, local_edges: int = 200_000) -> Da
             break
         large = _minimum(both, "u", "v", rows).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).filter("u <> v").distinct()
         large = materialise(large, "components")
+        discard(state)
         small = _minimum(large, "u", "v", large.count())
         star = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
         state = materialise(small.select(star.alias("e")).select("e.u", "e.v").filter("u <> v").distinct(), "components")
+        discard(large)
         mark = state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             break
@@ -258,9 +266,16 @@ def components(g: Graph, max_rounds: int = 60, local_edges: int = 200_000) -> Da
     return g.nodes.select("zip").join(root, "zip", "left").select("zip", F.coalesce("_root", "zip").alias("component"))
 
 
+def with_fact(edges: DataFrame, facts: DataFrame, end: str, names: dict[str, str]) -> DataFrame:
+    """Edges joined with columns of ``facts`` (zip, ...; one row per zip) at one ``end``, renamed by ``names``; hubs are salted."""
+    kept = facts.select(F.col("zip").alias(end), *[F.col(c).alias(n) for c, n in names.items()])
+    many, few = salted(edges, kept, [end], least=HUB)
+    return many.join(few, [end, "_salt"]).drop("_salt")
+
+
 def neighbour_sum(g: Graph, vectors: DataFrame, dims: int) -> DataFrame:
     """(zip, nbr): the component-wise sum of the neighbours' vectors; islands get zeros."""
-    met = g.edges.select("src", "dst").join(vectors.select(F.col("zip").alias("dst"), F.col("vec")), "dst")
+    met = with_fact(g.edges.select("src", "dst"), vectors, "dst", {"vec": "vec"})
     sums = met.groupBy(F.col("src").alias("zip")).agg(F.array(*[F.sum(F.get("vec", F.lit(i))) for i in range(dims)]).alias("nbr"))
     zeros = F.array(*[F.lit(0.0)] * dims)
     return vectors.select("zip").join(sums, "zip", "left").select("zip", F.coalesce("nbr", zeros).alias("nbr"))
@@ -268,9 +283,8 @@ def neighbour_sum(g: Graph, vectors: DataFrame, dims: int) -> DataFrame:
 
 def within_label(g: Graph, labels: DataFrame) -> Graph:
     """The graph of ``labels`` (zip, unit_id): all labelled nodes, edges inside a unit only."""
-    a = labels.select(F.col("zip").alias("src"), F.col("unit_id").alias("_a"))
-    b = labels.select(F.col("zip").alias("dst"), F.col("unit_id").alias("_b"))
-    edges = g.edges.join(a, "src").join(b, "dst").filter("_a = _b").select("src", "dst", "weight")
+    edges = with_fact(with_fact(g.edges, labels, "src", {"unit_id": "_a"}), labels, "dst", {"unit_id": "_b"})
+    edges = edges.filter("_a = _b").select("src", "dst", "weight")
     return Graph(labels.select("zip"), edges)
 
 

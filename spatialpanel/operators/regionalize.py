@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import heapq
+import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import normal
 from ..functions.vectors import literal, square_distance, times_vector, unit
 from ..schema import all_finite, require_unique
-from ..session import materialise
-from .graph import Graph, components
+from ..session import discard, materialise
+from .blocks import matrix
+from .graph import Graph, components, with_fact
 from .skew import positions
 
 
@@ -58,10 +62,9 @@ def spanning_forest(g: Graph, vectors: DataFrame, max_rounds: int = 40, local_ed
     """
     v = vectors.select("zip", "vector")
     ends = g.edges.filter("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
-    va, vb = v.select(F.col("zip").alias("a"), F.col("vector").alias("_va")), v.select(F.col("zip").alias("b"), F.col("vector").alias("_vb"))
-    costs = ends.join(va, "a").join(vb, "b").select("a", "b", square_distance(F.col("_va"), F.col("_vb")).alias("cost"))
+    costs = with_fact(with_fact(ends, v, "a", {"vector": "_va"}), v, "b", {"vector": "_vb"}).select("a", "b", square_distance(F.col("_va"), F.col("_vb")).alias("cost"))
     active = materialise(costs.withColumn("ca", F.col("a")).withColumn("cb", F.col("b")), "costs")
-    forest = costs.limit(0)
+    forest = v.sparkSession.createDataFrame([], "a string, b string, cost double")
     for _ in range(max_rounds):
         n = active.count()
         if n <= local_edges:
@@ -72,20 +75,24 @@ def spanning_forest(g: Graph, vectors: DataFrame, max_rounds: int = 40, local_ed
         forest = forest.unionByName(taken.select("a", "b", "cost").distinct())
         up = taken.select("c", "p")
         back = up.select(F.col("c").alias("p"), F.col("p").alias("_pp"))
-        up = materialise(up.join(back, "p").select("c", F.when((F.col("_pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p")), "hooks")
+        up = hooks = materialise(up.join(back, "p").select("c", F.when((F.col("_pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p")), "hooks")
         while True:
             jump = materialise(up.join(up.select(F.col("c").alias("p"), F.col("p").alias("_pp")), "p").select("c", "p", "_pp"), "hooks")
+            discard(hooks)
+            hooks, up = jump, jump.select("c", F.col("_pp").alias("p"))
             if jump.filter("p <> _pp").isEmpty():
                 break
-            up = jump.select("c", F.col("_pp").alias("p"))
-        la, lb = up.select(F.col("c").alias("ca"), F.col("p").alias("_ra")), up.select(F.col("c").alias("cb"), F.col("p").alias("_rb"))
-        active = materialise(active.join(la, "ca").join(lb, "cb").filter("_ra <> _rb").select("a", "b", "cost", F.col("_ra").alias("ca"), F.col("_rb").alias("cb")), "costs")
+        up = up.withColumnRenamed("c", "zip")  # a component may hold a large share of the edges' ends
+        sides = with_fact(with_fact(active, up, "ca", {"p": "_ra"}), up, "cb", {"p": "_rb"})
+        before, active = active, materialise(sides.filter("_ra <> _rb").select("a", "b", "cost", F.col("_ra").alias("ca"), F.col("_rb").alias("cb")), "costs")
+        discard(before, hooks)
     raise RuntimeError(f"forest not found in {max_rounds} rounds")
 
 
 class _Tree:
     """A tree in arrays, with the best cut found from subtree sums (count, sum, sum of squares)."""
 
+    # nodes ascend
     def __init__(self, nodes: np.ndarray, edges: np.ndarray, x: np.ndarray, size: np.ndarray):
         self.nodes, self.edges, self.x, self.size = nodes, edges, x, size
         mean = x[nodes].mean(0)
@@ -99,9 +106,7 @@ class _Tree:
         n = len(self.nodes)
         if n < 2:
             return None
-        place = np.full(len(self.x), -1)
-        place[self.nodes] = np.arange(n)
-        a, b = place[self.edges[:, 0]], place[self.edges[:, 1]]
+        a, b = np.searchsorted(self.nodes, self.edges[:, 0]), np.searchsorted(self.nodes, self.edges[:, 1])
         half = np.r_[a, b]
         order = np.argsort(half, kind="stable")
         to, via = np.r_[b, a][order], np.r_[np.arange(n - 1), np.arange(n - 1)][order]
@@ -145,7 +150,10 @@ def _units(weight: np.ndarray | float, high: float) -> np.ndarray:
 
 
 def _cut(n: int, edges: np.ndarray, root: np.ndarray, x: np.ndarray, size: np.ndarray, c: SkaterConfig) -> np.ndarray:
-    trees = [_Tree(np.flatnonzero(root == r), edges[root[edges[:, 0]] == r], x, size) for r in np.unique(root)]
+    by_root, e_root = np.argsort(root, kind="stable"), root[edges[:, 0]]
+    by_edge, roots = np.argsort(e_root, kind="stable"), np.unique(root)
+    cut = lambda order, keys: np.split(order, np.searchsorted(keys[order], roots)[1:])
+    trees = [_Tree(nodes, edges[e], x, size) for nodes, e in zip(cut(by_root, root), cut(by_edge, e_root))]
     if not len(trees) <= c.n_clusters <= n:
         raise ValueError(f"n_clusters must lie between the graph's {len(trees)} components and its {n} nodes")
     share = size.sum() / c.n_clusters
@@ -185,9 +193,7 @@ def _greedy(trees: list[_Tree], x: np.ndarray, size: np.ndarray, c: SkaterConfig
             continue
         _, edge, beyond = best
         keep = np.arange(len(t.edges)) != edge
-        far = np.zeros(len(x), bool)
-        far[t.nodes[beyond]] = True
-        side = far[t.edges[:, 0]]
+        side = beyond[np.searchsorted(t.nodes, t.edges[:, 0])]
         halves = [_Tree(t.nodes[~beyond], t.edges[keep & ~side], x, size), _Tree(t.nodes[beyond], t.edges[keep & side], x, size)]
         asked += sum(need(h) for h in halves) - need(t)
         for h in halves:
@@ -254,28 +260,56 @@ def relabel(labels: DataFrame) -> DataFrame:
     return labels.join(positions(labels, "unit_id", "_new"), "unit_id").select("zip", F.col("_new").alias("unit_id"))
 
 
-def spectral_embedding(g: Graph, dims: int, rounds: int = 20, seed: int = 0) -> DataFrame:
+def _gram(vec: DataFrame, dims: int) -> np.ndarray:
+    """Sum over all rows of vec vec^T: one matrix per task, added up by cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((dims, dims))
+        for batch in batches:
+            x = matrix(batch.column(0))
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims * dims, dtype=np.int32)), pa.array(total.ravel())], names=["cell", "g"])
+
+    rows = vec.select("vec").mapInArrow(run, "cell int, g double").groupBy("cell").agg(F.sum("g").alias("g")).collect()
+    gram = np.zeros(dims * dims)
+    for r in rows:
+        gram[r.cell] = r.g
+    return gram.reshape(dims, dims)
+
+
+def spectral_embedding(g: Graph, dims: int, rounds: int = 100, seed: int = 0, tolerance: float = 1e-3) -> DataFrame:
     """(zip, vec): the leading ``dims`` eigenvectors' span of the normalised adjacency, rows of unit length.
 
     Subspace iteration: vec <- (vec + neighbours' vec by normalised weight) / 2,
-    then orthonormalised through its dims x dims Gram matrix, the only thing that
-    reaches the driver. Every other round is written to the shared folder. Islands do not come out.
+    orthonormalised every other round through its dims x dims Gram matrix, the
+    only thing that reaches the driver. It ends when no eigenvalue moves by more
+    than ``tolerance``, with a warning if that takes over ``rounds`` rounds. Every
+    other round is written to the shared folder. Islands do not come out.
     """
-    degree = g.edges.groupBy(F.col("src").alias("zip")).agg(F.sum("weight").alias("d"))
-    da, db = degree.select(F.col("zip").alias("src"), F.col("d").alias("_a")), degree.select(F.col("zip").alias("dst"), F.col("d").alias("_b"))
-    step = materialise(g.edges.join(da, "src").join(db, "dst").select("src", "dst", (F.col("weight") / F.sqrt(F.col("_a") * F.col("_b"))).alias("w")), "affinities")
-    vec = degree.select("zip", F.array(*[normal(seed, f"spectral{i}", F.col("zip")) for i in range(dims)]).alias("vec"))
+    edges = materialise(g.edges.select("src", "dst", "weight"), "affinities")
+    degree = materialise(edges.groupBy(F.col("src").alias("zip")).agg(F.sum("weight").alias("d")), "degrees")
+    both = with_fact(with_fact(edges, degree, "src", {"d": "_a"}), degree, "dst", {"d": "_b"})
+    step = materialise(both.select("src", "dst", (F.col("weight") / F.sqrt(F.col("_a") * F.col("_b"))).alias("w")), "affinities")
+    discard(edges)
     item = lambda c, i: F.get(c, F.lit(i))
+    vec, last, held = degree.select("zip", F.array(*[normal(seed, f"spectral{i}", F.col("zip")) for i in range(dims)]).alias("vec")), None, degree
     for turn in range(rounds):
-        met = step.join(vec.select(F.col("zip").alias("dst"), "vec"), "dst").groupBy(F.col("src").alias("zip")).agg(F.array(*[F.sum(F.col("w") * item("vec", i)) for i in range(dims)]).alias("n"))
-        vec = materialise(vec.join(met, "zip").select("zip", F.zip_with("vec", "n", lambda x, y: (x + y) / 2).alias("vec")), "spectral")
-        if turn % 2 and turn < rounds - 1:
+        met = with_fact(step, vec, "dst", {"vec": "vec"}).groupBy(F.col("src").alias("zip")).agg(F.array(*[F.sum(F.col("w") * item("vec", i)) for i in range(dims)]).alias("n"))
+        vec = vec.join(met, "zip").select("zip", F.zip_with("vec", "n", lambda x, y: (x + y) / 2).alias("vec"))
+        if turn % 2 == 0:
             continue
-        r = vec.agg(*[F.sum(item("vec", i) * item("vec", j)).alias(f"g{i}_{j}") for i in range(dims) for j in range(i + 1)]).first()
-        gram = np.array([[r[f"g{max(i, j)}_{min(i, j)}"] or 0.0 for j in range(dims)] for i in range(dims)])
-        value, basis = np.linalg.eigh(gram)
+        vec = materialise(vec, "spectral")
+        discard(held)
+        held = vec
+        value, basis = np.linalg.eigh(_gram(vec, dims))
         turn_to = (basis / np.sqrt(np.maximum(value, 1e-300))).T
         vec = vec.select("zip", times_vector(literal(turn_to), F.col("vec")).alias("vec"))
+        now = np.maximum(value, 0.0) ** 0.25  # two rounds from an orthonormal basis square each eigenvalue twice in the Gram matrix
+        if last is not None and np.abs(now - last).max() <= tolerance:
+            break
+        last = now
+    else:
+        warnings.warn(f"spectral embedding: eigenvalues still move after {rounds} rounds", RuntimeWarning, stacklevel=2)
     return vec.select("zip", unit(F.col("vec")).alias("vec"))
 
 
@@ -291,9 +325,7 @@ def spectral_clusters(g: Graph, n_clusters: int, seed: int = 0) -> DataFrame:
 
 def modularity(g: Graph, labels: DataFrame, resolution: float = 1.0) -> float:
     """Modularity of a labelling (zip, unit_id): two aggregates over the edges."""
-    a = labels.select(F.col("zip").alias("src"), F.col("unit_id").alias("_a"))
-    b = labels.select(F.col("zip").alias("dst"), F.col("unit_id").alias("_b"))
-    edges = g.edges.join(a, "src").join(b, "dst")
+    edges = with_fact(with_fact(g.edges, labels, "src", {"unit_id": "_a"}), labels, "dst", {"unit_id": "_b"})
     per = edges.groupBy("_a").agg(F.sum("weight").alias("k"), F.sum(F.when(F.col("_a") == F.col("_b"), F.col("weight")).otherwise(0.0)).alias("i"))
     r = per.agg(F.sum("k").alias("m"), F.sum("i").alias("i"), F.sum(F.col("k") * F.col("k")).alias("q")).first()
     return 0.0 if not r.m else r.i / r.m - resolution * r.q / (r.m * r.m)
