@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rng import uniform
 from ..functions.vectors import mean_vector, square_distance
 from ..schema import all_finite, require_columns
 from ..session import materialise
@@ -37,8 +38,8 @@ def quality_guard(vectors: DataFrame) -> str | None:
 
 
 def sample(df: DataFrame, n: int, seed: int, key: str = "zip") -> DataFrame:
-    """Exactly min(n, rows) rows, the first by a hash of (seed, key): any partitioning gives the same."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    """Exactly min(n, rows) rows, the first by a random number of (seed, key): any partitioning gives the same."""
+    return df.orderBy(uniform(seed, "sample", F.col(key)), key).limit(n)
 
 
 def silhouette_samples(vectors: DataFrame, max_samples: int | None = 10_000, random_state: int = 42, chunk: int = 10_000) -> DataFrame:

@@ -510,12 +510,6 @@ def _skater(v: DataFrame, g: G.Graph) -> DataFrame:
     return regionalize.run_skater(v, g, regionalize.SkaterConfig(pieces + 16, min_size=10), forest=forest)
 
 
-@query()
-def spanning_forest(spark, d):
-    v, g = _zip_graph(spark, d)
-    return regionalize.spanning_forest(g, v)
-
-
 @query()
 def skater_units(spark, d):
     return _skater(*_zip_graph(spark, d))

@@ -61,7 +61,12 @@ def all_finite(vector: Column) -> Column:
     return F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
 
 
+def repeated(df: DataFrame, key: str) -> DataFrame:
+    """(key, n): the keys with more than one row. One partially aggregated shuffle."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
 def require_unique(df: DataFrame, key: str) -> None:
-    """ValueError if a key repeats. One partially aggregated shuffle."""
-    if not df.groupBy(key).count().filter("count > 1").isEmpty():
+    """ValueError if a key repeats."""
+    if not repeated(df, key).isEmpty():
         raise ValueError(f"{key} is not unique")

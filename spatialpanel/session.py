@@ -23,6 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the application's own sub-folder of the shared folder."""
+    return f"{shared_folder(spark)}/spatialpanel-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -32,7 +37,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     ``discard`` deletes those of a loop's earlier rounds.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/spatialpanel-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path

@@ -11,8 +11,12 @@ EDGE_SCHEMA = "edge_id bigint, src_zip string, dst_zip string, weight double, ob
 
 
 def read_edges(spark: SparkSession, folder: str, fmt: str = "parquet", files_per_trigger: int = 100, schema: str = EDGE_SCHEMA) -> DataFrame:
-    """A stream of the edge files arriving in ``folder``."""
-    return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_trigger).load(folder)
+    """A stream of the edge files arriving in ``folder``; a single file is a stream of one."""
+    source = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_trigger)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).isFile(path):
+        return source.option("pathGlobFilter", path.getName()).load(path.getParent().toString())
+    return source.load(folder)
 
 
 def windowed_flows(edges: DataFrame, window: str = "1 day", lateness: str = "7 days", threshold: float = 0.0) -> DataFrame:
