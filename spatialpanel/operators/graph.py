@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -135,16 +136,17 @@ def knn_edges(points: DataFrame, k: int, key: str = "geo_id", x: str = "latitude
     laddered = cell(places.withColumn("level", levels))
     counts = laddered.groupBy("level", "ix", "iy").agg(F.sum("m").alias("c")).filter(F.col("c") > 2 * k + 1)
     chosen = laddered.join(counts, ["level", "ix", "iy"], "left_semi").groupBy("x", "y").agg(F.min("level").alias("level"))
-    chosen = places.select("x", "y").join(chosen, ["x", "y"], "left").select("x", "y", F.coalesce("level", F.lit(top)).alias("level"))
+    within = F.coalesce(F.pow(F.lit(4.0), F.col("level")) * (2 + 1e-9), F.lit(math.inf)).alias("within")
+    chosen = places.select("x", "y").join(chosen, ["x", "y"], "left").select("x", "y", F.coalesce("level", F.lit(top)).alias("level"), within)
     chosen = materialise(chosen, "cells")
     used = [r.level for r in chosen.select("level").distinct().collect()]
     around = F.explode(F.sequence(F.lit(-2), F.lit(2)))
-    asked = cell(chosen).withColumn("ox", around).withColumn("oy", around).select("x", "y", "level", (F.col("ix") + F.col("ox")).alias("ix"), (F.col("iy") + F.col("oy")).alias("iy"))
+    asked = cell(chosen).withColumn("ox", around).withColumn("oy", around).select("x", "y", "within", "level", (F.col("ix") + F.col("ox")).alias("ix"), (F.col("iy") + F.col("oy")).alias("iy"))
     offered = cell(near_ids.withColumn("level", F.explode(F.array(*[F.lit(v) for v in used])))).select("level", "ix", "iy", F.col("id").alias("dst"), F.col("x").alias("_x"), F.col("y").alias("_y"))
     d2 = F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2)
     cells = ["level", "ix", "iy"]  # a coarse cell, asked for by far places, offers very many
     many, few = salted(offered, asked, cells, near_ids.count() * len(used))
-    met = many.join(few, [*cells, "_salt"]).select("x", "y", "dst", d2.alias("d2"))
+    met = many.join(few, [*cells, "_salt"]).filter(d2 <= F.col("within")).select("x", "y", "dst", d2.alias("d2"))
     first = F.row_number().over(Window.partitionBy("x", "y").orderBy("d2", "dst"))
     best = met.withColumn("r", first).filter(F.col("r") <= k + 1).groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct("r", "dst"))).alias("_near"))
     sized = good.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).join(best, ["x", "y"]).select(F.xxhash64("x", "y").alias("h"), F.col("x").alias("_px"), F.col("y").alias("_py"), "n", "_near")

@@ -175,8 +175,9 @@ def convolve_channels(series: DataFrame, kernels: list[list[list[float]]], bias:
     longest = F.greatest(F.lit(0), *[F.coalesce(F.size(f"_f{i}"), F.lit(0)) for i in range(len(features))])
     wide = wide.withColumn("_n", longest).select(geo, *[F.coalesce(F.col(f"_f{i}"), F.array_repeat(F.lit(0.0), F.col("_n"))).alias(f"_f{i}") for i in range(len(features))])
     plus = lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))
+    shifted = lambda ys, b: F.transform(ys, lambda y: y + F.lit(b))
     outs = []
     for o, per_in in enumerate(kernels):
         parts = [convolve(F.col(f"_f{i}"), k) for i, k in enumerate(per_in)]
-        outs.append(F.struct(F.lit(o).alias("channel"), F.transform(reduce(plus, parts), lambda y, o=o: y + F.lit(float(bias[o]))).alias("ys")))
+        outs.append(F.struct(F.lit(o).alias("channel"), shifted(reduce(plus, parts), float(bias[o])).alias("ys")))
     return wide.select(geo, F.explode(F.array(*outs)).alias("o")).select(geo, "o.channel", "o.ys")
