@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import salted
 from ..session import materialise
 from .hashing import byte_table, grams, text_bytes, words
 
@@ -112,6 +113,10 @@ def leaks(corpus: DataFrame, tests: DataFrame, doc: str = "doc_id", item: str =
         probe = np.sort(np.array([r.fp for r in distinct.toLocalIterator()], np.int64).view(np.uint64))
     hits = fingerprints(corpus.select(doc, text), doc, text, k, span, probe)
     theirs = own.select(F.col(item), "fp", "gram", F.col("before").alias("_before"), F.col("after").alias("_after"))
-    met = hits.join(F.broadcast(theirs) if own.count() <= context_rows else theirs, ["fp", "gram"])
+    if own.count() <= context_rows:
+        met = hits.join(F.broadcast(theirs), ["fp", "gram"])
+    else:  # a passage that very many texts hold is dealt over several tasks
+        many, few = salted(hits, theirs, ["fp", "gram"], least=100_000)
+        met = many.join(few, ["fp", "gram", "_salt"])
     length = F.lit(k) + _shared(F.col("before"), F.col("_before")) + _shared(F.col("after"), F.col("_after"))
     return met.filter(length >= span).select(doc, item).distinct()
