@@ -7,7 +7,7 @@ as dicts or one-row tables. Names follow what the operators do.
 from __future__ import annotations
 
 from .operators.augment import AugmentationLogger, augment, augmented_pair, crop, get_augmentation_logger, jitter, mask
-from .operators.encoder import EncoderConfig, encode, fit, graph_layer, load_params, params_frame, temporal_features
+from .operators.encoder import EncoderConfig, encode, fit, graph_layer, load_params, params_frame, temporal_features, validation_losses
 from .operators.graph import Graph, align_graph, components, contiguity_graph, extra_nodes, knn_graph, missing_nodes, mobility_graph, node_strength, radius_graph
 from .operators.losses import bank_loss, bank_update, mse, new_bank, nt_xent, predictive_loss, reconstruction_loss, weighted_sum
 from .operators.metrics import cluster_summary, contiguity_score, davies_bouldin, pair_confusion, partition_stability, quality_guard, quality_scores, silhouette_samples
@@ -19,7 +19,8 @@ from .operators.spikes import SpikeModel, flag_readings
 from .operators.synth import lattice_grid, make_embeddings
 from .operators.timegrid import daily_totals, regular_grid, rolling_totals, usable_readings
 from .schema import from_wide, to_wide
-from .sources.shapefile import polygons_shp
+from .session import clear_written
+from .sources.shapefile import polygons_shp, write_shp
 from .sources.tables import edges_csv, polygons, table, write
 
 __all__ = [n for n in dir() if not n.startswith("_") and n != "annotations"]
@@ -46,6 +47,8 @@ def evaluate_units(assignments: dict, vectors, graph: Graph):
     return vectors.sparkSession.createDataFrame(rows, "method string, silhouette double, davies_bouldin double, connected_fraction double, n_clusters bigint")
 
 
-def clear_caches(spark) -> None:
-    """Drops everything that was persisted."""
+def clear_caches(spark, written: bool = False) -> None:
+    """Drops everything that was persisted, with ``written`` also the intermediates in the shared folder."""
     spark.catalog.clearCache()
+    if written:
+        clear_written(spark)

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -331,63 +332,76 @@ def modularity(g: Graph, labels: DataFrame, resolution: float = 1.0) -> float:
     return 0.0 if not r.m else r.i / r.m - resolution * r.q / (r.m * r.m)
 
 
-def _communities(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, n: int, resolution: float) -> np.ndarray:
-    """Community of each of n nodes: local moves one node at a time, then merging, until nothing gains."""
-    member = np.arange(n)
-    total = weight.sum()
+def _communities(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, names: list[str], resolution: float) -> np.ndarray:
+    """Community name of each node: the rounds of ``louvain`` on arrays, with the same names and the same order of choice."""
+    member, total = np.arange(len(names)), weight.sum()
+
+    def score(code: np.ndarray) -> float:
+        held = np.bincount(code[src], weight)
+        return weight[code[src] == code[dst]].sum() / total - resolution * (held * held).sum() / (total * total)
+
     while total:
-        order = np.argsort(src, kind="stable")
-        to, w = dst[order].tolist(), weight[order].tolist()
-        start = np.searchsorted(src[order], np.arange(n + 1)).tolist()
-        k = np.bincount(src, weight, n).tolist()
-        own, held, moved, again = list(range(n)), list(k), False, True
-        while again:
-            again = False
-            for u in range(n):
-                near: dict[int, float] = {own[u]: 0.0}
-                for i in range(start[u], start[u + 1]):
-                    if to[i] != u:
-                        near[own[to[i]]] = near.get(own[to[i]], 0.0) + w[i]
-                held[own[u]] -= k[u]
-                gain = {c: v - resolution * k[u] * held[c] / total for c, v in near.items()}
-                best = min(gain, key=lambda c: (-gain[c], c))
-                if gain[best] > gain[own[u]] + 1e-12:
-                    own[u], again, moved = best, True, True
-                held[own[u]] += k[u]
-        if not moved:
+        own = np.array([xxhash.xxh64_intdigest(z.encode(), 42) for z in names], np.uint64).view(np.int64)
+        k, apart = np.bincount(src, weight, len(names)), src != dst
+        ids, code = np.unique(own, return_inverse=True)
+        start = best = score(code)
+        turn = failed = 0
+        while failed < 2:
+            held, width = np.bincount(code, k, len(ids)), len(ids)
+            pair, back = np.unique(src[apart] * width + code[dst[apart]], return_inverse=True)
+            link, u, c = np.bincount(back, weight[apart], len(pair)), pair // width, pair % width
+            mine = c == code[u]
+            gain = link - resolution * k[u] * (held[c] - np.where(mine, k[u], 0.0)) / total
+            here = np.zeros(len(names))
+            here[u[mine]] = gain[mine]
+            way = (c < code[u]) if turn % 2 == 0 else (c > code[u])
+            order = np.lexsort((c[way], gain[way], u[way]))
+            u, c, gain = u[way][order], c[way][order], gain[way][order]
+            last = np.r_[u[1:] != u[:-1], True] if len(u) else np.zeros(0, bool)
+            last &= gain > here[u] + 1e-12
+            new = code.copy()
+            new[u[last]] = c[last]
+            turn += 1
+            now = score(new)
+            if now <= best + 1e-9:
+                failed += 1
+                continue
+            failed, best = 0, now
+            own = ids[new]
+            ids, code = np.unique(own, return_inverse=True)
+        if best <= start + 1e-9:
             break
-        names, new = np.unique(own, return_inverse=True)
-        member, n = new[member], len(names)
-        pair, back = np.unique(new[src] * n + new[dst], return_inverse=True)
-        src, dst, weight = pair // n, pair % n, np.bincount(back, weight)
-    return member
+        member, names = code[member], [str(i) for i in ids]
+        pair, back = np.unique(code[src] * len(ids) + code[dst], return_inverse=True)
+        src, dst, weight = pair // len(ids), pair % len(ids), np.bincount(back, weight)
+    return np.array(names, object)[member]
 
 
 def _finish_louvain(resolution: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names, place = np.unique(np.concatenate([pdf["src"].to_numpy(str), pdf["dst"].to_numpy(str)]), return_inverse=True)
-        found = _communities(place[: len(pdf)], place[len(pdf) :], pdf["weight"].to_numpy(float), len(names), resolution)
-        first = {}
-        for name, c in zip(names, found.tolist()):
-            first.setdefault(c, name)
-        return pd.DataFrame({"node": names, "unit": [first[c] for c in found.tolist()]})
+        found = _communities(place[: len(pdf)], place[len(pdf) :], pdf["weight"].to_numpy(float), names.tolist(), resolution)
+        return pd.DataFrame({"node": names, "unit": found})
 
     return run
 
 
-def louvain(g: Graph, resolution: float = 1.0, max_rounds: int = 20, max_levels: int = 10, local_edges: int = 400_000) -> DataFrame:
+def louvain(g: Graph, resolution: float = 1.0, local_edges: int = 400_000) -> DataFrame:
     """(zip, unit_id): communities by rounds of local moves, then merging communities into nodes.
 
     In a round every node may move to the neighbouring community of largest gain
     in modularity; of two communities only the larger-named gives nodes to the
     smaller-named in even rounds and the other way in odd ones, so moves of a
-    round cannot swap. A round that does not raise modularity is undone. Once a
-    level has at most ``local_edges`` edges, one task of that bounded size
-    finishes it, moving node by node. Islands are units of their own.
+    round cannot swap. A round that does not raise modularity is undone; after
+    two of them in a row the communities become nodes, and all ends when that
+    raises modularity no more. Every accepted round raises it by over 1e-9, so
+    there is no other limit. Once a level has at most ``local_edges`` edges, one
+    task of that bounded size goes through the same rounds. Islands are units of
+    their own.
     """
     label = materialise(g.nodes.select("zip", F.xxhash64("zip").alias("unit_id")), "louvain")
     level, member = g, label.select("zip", F.col("zip").alias("node"))
-    for _ in range(max_levels):
+    while True:
         if level.edges.count() <= local_edges:
             units = level.edges.select("src", "dst", "weight", F.lit(0).alias("_one")).groupBy("_one").applyInPandas(_finish_louvain(resolution), "node string, unit string")
             member = member.join(units, "node", "left").select("zip", F.coalesce("unit", "node").alias("node"))
@@ -397,13 +411,12 @@ def louvain(g: Graph, resolution: float = 1.0, max_rounds: int = 20, max_levels:
         total = strength.agg(F.sum("k")).first()[0] or 0.0
         if not total:
             break
-        best, start = modularity(level, own, resolution), None
-        start = best
-        for turn in range(max_rounds):
+        start = best = modularity(level, own, resolution)
+        turn = failed = 0
+        while failed < 2:
             sized = own.join(strength, "zip", "left").select("zip", "unit_id", F.coalesce("k", F.lit(0.0)).alias("k"))
             unit = sized.groupBy("unit_id").agg(F.sum("k").alias("t"))
-            to = own.select(F.col("zip").alias("dst"), F.col("unit_id").alias("c"))
-            links = level.edges.filter("src <> dst").join(to, "dst").groupBy(F.col("src").alias("zip"), "c").agg(F.sum("weight").alias("w"))
+            links = with_fact(level.edges.filter("src <> dst"), own, "dst", {"unit_id": "c"}).groupBy(F.col("src").alias("zip"), "c").agg(F.sum("weight").alias("w"))
             gain = F.col("w") - F.lit(resolution) * F.col("k") * (F.col("t") - F.when(F.col("c") == F.col("unit_id"), F.col("k")).otherwise(0.0)) / F.lit(total)
             scored = links.join(sized, "zip").join(unit.withColumnRenamed("unit_id", "c"), "c").withColumn("gain", gain)
             here = scored.filter("c = unit_id").select("zip", F.col("gain").alias("_here"))
@@ -412,16 +425,21 @@ def louvain(g: Graph, resolution: float = 1.0, max_rounds: int = 20, max_levels:
             moves = top.filter(F.col("m.gain") > F.coalesce("_here", F.lit(0.0)) + 1e-12).select("zip", F.col("m.c").alias("_to"))
             new = materialise(own.join(moves, "zip", "left").select("zip", F.coalesce("_to", "unit_id").alias("unit_id")), "louvain")
             score = modularity(level, new, resolution)
+            turn += 1
             if score <= best + 1e-9:
-                if turn % 2:
-                    break
+                failed += 1
+                discard(new)
                 continue
-            own, best = new, score
+            discard(own)
+            own, best, failed = new, score, 0
         if best <= start + 1e-9:
             break
         member = materialise(member.join(own.select(F.col("zip").alias("node"), F.col("unit_id").cast("string").alias("_n")), "node").select("zip", F.col("_n").alias("node")), "louvain")
-        a, b = own.select(F.col("zip").alias("src"), F.col("unit_id").cast("string").alias("_a")), own.select(F.col("zip").alias("dst"), F.col("unit_id").cast("string").alias("_b"))
-        edges = materialise(level.edges.join(a, "src").join(b, "dst").groupBy(F.col("_a").alias("src"), F.col("_b").alias("dst")).agg(F.sum("weight").alias("weight")), "louvain")
+        a, b = own.select("zip", F.col("unit_id").cast("string").alias("u")), {"src": "_a", "dst": "_b"}
+        both = level.edges
+        for end, name in b.items():
+            both = with_fact(both, a, end, {"u": name})
+        edges = materialise(both.groupBy(F.col("_a").alias("src"), F.col("_b").alias("dst")).agg(F.sum("weight").alias("weight")), "louvain")
         level = Graph(own.select(F.col("unit_id").cast("string").alias("zip")).distinct(), edges)
     return member.select("zip", F.xxhash64("node").alias("unit_id"))
 

@@ -168,7 +168,7 @@ def percentiles(df: DataFrame, key: str, value: str, shares: dict[str, float | C
     exact however they lie. NULL keys and NULL or NaN values are left out.
     """
     valid = F.col(key).isNotNull() & F.col(value).isNotNull() & ~F.isnan(value)
-    freq = compress(df.filter(valid).select(F.col(key).alias("_key"), (F.col(value) + F.lit(0.0)).alias("_value")), ["_key", "_value"])
+    freq = materialise(compress(df.filter(valid).select(F.col(key).alias("_key"), (F.col(value) + F.lit(0.0)).alias("_value")), ["_key", "_value"]), "frequencies")
     sketch = F.percentile_approx("_value", [i / 64 for i in range(1, 64)], 1000)
     sizes = freq.groupBy("_key").agg(F.count(F.lit(1)).alias("_m"))
     least = max(1000, int(freq.count() * HOT_SHARE))

@@ -88,7 +88,12 @@ def p5_flags(spark: SparkSession, d: str) -> DataFrame:
     return _flags(spark, d).select("geo_id", "reading_id", F.col("value").alias("spend"), F.round("deviation", 4).alias("deviation"), F.round("p_spike", 4).alias("p_spike"), F.round("p_stuck", 4).alias("p_stuck"), "flag")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_rolling, p3_found, p3_regions, p4_found, p4_totals, p4_percentiles, p5_found, p5_flags)}
+def p5_hard(spark: SparkSession, d: str) -> DataFrame:
+    """The flags that hard bounds decide."""
+    return _flags(spark, d).filter("flag <> 'spike'").select("geo_id", "reading_id", F.col("value").alias("spend"), "flag")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_rolling, p3_found, p3_regions, p4_found, p4_totals, p4_percentiles, p5_found, p5_flags, p5_hard)}
 
 USABLE = """
 valid AS (SELECT * FROM timeseries WHERE geo_id IS NOT NULL AND date >= TIMESTAMP '2024-01-01' AND date < TIMESTAMP '2024-05-30'),
@@ -127,6 +132,10 @@ q AS (SELECT (cy * 12 + cx) * 2 + (CASE WHEN qx = 1 AND qy = 1 THEN 1 ELSE 0 END
   FROM range(12) a(cx), range(6) b(cy), range(2) c(qx), range(2) e(qy))
 SELECT geo_id, longitude, latitude, min(region_id)::BIGINT AS region_id FROM ok JOIN q
 ON longitude BETWEEN x0 AND x0 + 15 AND latitude BETWEEN y0 AND y0 + 15 GROUP BY geo_id, longitude, latitude""",
+    "p5_hard": f"""WITH {USABLE},
+n AS (SELECT *, row_number() OVER (PARTITION BY geo_id ORDER BY date) - row_number() OVER (PARTITION BY geo_id, spend ORDER BY date) AS island FROM usable),
+r AS (SELECT *, count(*) OVER (PARTITION BY geo_id, spend, island) AS run FROM n)
+SELECT geo_id, reading_id, spend, CASE WHEN spend < 0 OR spend > 5e6 THEN 'out_of_range' ELSE 'stuck' END AS flag FROM r WHERE spend < 0 OR spend > 5e6 OR run >= 6""",
     "p4_found": """WITH s AS (SELECT 'src_zip' AS side, src_zip AS zip FROM mobility_edges UNION ALL SELECT 'dst_zip', dst_zip FROM mobility_edges)
 SELECT side, zip FROM s WHERE zip IS NOT NULL GROUP BY side, zip HAVING count(*) >= 0.025 * (SELECT count(*) FROM mobility_edges)""",
     "p4_totals": """WITH s AS (SELECT 'src_zip' AS side, src_zip AS zip, dst_zip AS partner, weight FROM mobility_edges

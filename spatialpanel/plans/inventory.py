@@ -14,7 +14,7 @@ from ..session import scratch
 from ..sources import shapefile, tables
 from ..sources.tables import table
 from ..streaming import edges as stream
-from .reference import BIAS, DENSE, FEATURES, KERNELS, NBR, ORDER, OWN, PAIRS, POINTS, _draw, _labels, _mobility, _order, _points, _scaled, _series, _zip_graph
+from .reference import BIAS, DENSE, FEATURES, KERNELS, NBR, ORDER, OWN, PAIRS, POINTS, RADIUS, _draw, _labels, _mobility, _order, _points, _scaled, _series, _zip_graph
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -276,6 +276,39 @@ def skater_contract(spark, d):
     return total.crossJoin(cut)
 
 
+PARTS = f"""WITH RECURSIVE {RADIUS}, r(zip, other) AS (SELECT geo_id, geo_id FROM pts UNION SELECT r.zip, e.dst FROM r JOIN edges e ON e.src = r.other),
+comp AS (SELECT zip, min(other) AS first_zip FROM r GROUP BY zip),
+size AS (SELECT first_zip, count(*) AS n FROM comp GROUP BY 1),
+inner_edges AS (SELECT first_zip, count(*) AS m FROM edges JOIN comp ON src = zip GROUP BY 1)"""
+
+
+def _radius_parts(spark: SparkSession, d: str) -> tuple[G.Graph, DataFrame, DataFrame]:
+    """(radius graph, (zip, first_zip) of its components, their (first_zip, n, m) of nodes and directed edges)."""
+    g = G.radius_graph(_points(spark, d), 0.01)
+    found = G.components(g).withColumnRenamed("component", "first_zip")
+    return g, found, found.join(G.node_strength(g), "zip").groupBy("first_zip").agg(F.count(F.lit(1)).alias("n"), F.sum("degree").alias("m"))
+
+
+def _first_of_unit(units: DataFrame) -> DataFrame:
+    return units.join(units.groupBy("unit_id").agg(F.min("zip").alias("first_zip")), "unit_id").select("zip", "first_zip")
+
+
+@query(f"{PARTS} SELECT zip, first_zip FROM comp JOIN size USING (first_zip) JOIN inner_edges USING (first_zip) WHERE m = n * (n - 1)")
+def louvain_cliques(spark, d):
+    """Communities of the components in which all are neighbours: the components, since a cut within would lower modularity."""
+    g, found, sizes = _radius_parts(spark, d)
+    cliques = found.join(sizes.filter("n > 1 AND m = n * (n - 1)"), "first_zip")
+    return _first_of_unit(regionalize.louvain(G.induced(g, cliques)))
+
+
+@query(f"{PARTS} SELECT zip, first_zip FROM comp WHERE first_zip IN (SELECT first_zip FROM size ORDER BY n DESC, first_zip LIMIT 4)")
+def spectral_components(spark, d):
+    """Four clusters of the four largest components: the components, the leading eigenvectors being constant on each."""
+    g, found, sizes = _radius_parts(spark, d)
+    largest = found.join(sizes.orderBy(F.desc("n"), "first_zip").limit(4), "first_zip")
+    return _first_of_unit(regionalize.spectral_clusters(G.induced(g, largest), 4))
+
+
 # windows and augmentation ---------------------------------------------------
 
 

@@ -44,6 +44,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def clear_written(spark: SparkSession) -> None:
+    """Delete all intermediates of this application; results that still read them fail from then on."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/spatialpanel-{spark.sparkContext.applicationId}")
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables of ``materialise`` that nothing reads any more.
 

@@ -1,4 +1,6 @@
+import os
 import re
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -38,6 +40,22 @@ assert 'p1_found' in e.queries() and 'p6_found' not in e.queries() and 'p6_found
     subprocess.run([sys.executable, "-c", code], check=True)
 
 
+def test_a_copy_without_both_folders_runs(tmp_path):
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=lambda at, names: [n for n in names if n in ("llm", ".git", "__pycache__")])
+    assert not (copy / "spatialpanel" / "llm").exists() and not (copy / "tests" / "llm").exists()
+    code = """
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+q = e.queries()
+assert 'p1_found' in q and not any(n.startswith(('p6_', 'p7_', 'p8_', 'p9_', 'p10_')) for n in [*q, *e.oracle_sql()])
+spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()
+assert e.entry(spark).count() > 0 and q['label_counts'](spark, '/root/testdata/sf0.001').count() > 0
+"""
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_"))}
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=copy, env=env)
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "e.csv").write_text("weight,src_zip,dst_zip\n1.5,02139,00501\nx,A,B\n,C,\n")
     rows = [tuple(r) for r in tables.edges_csv(spark, str(tmp_path / "e.csv")).collect()]

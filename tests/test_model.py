@@ -2,10 +2,12 @@ import math
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spatialpanel.operators import encoder, losses, regionalize, synth
-from spatialpanel.operators.graph import Graph
+from spatialpanel.operators.graph import Graph, min_labels
 from spatialpanel.operators.metrics import contiguity_score, partition_stability
 
 
@@ -241,6 +243,38 @@ def test_louvain_and_spectral_find_cliques(spark):
     assert regionalize.modularity(g, regionalize.louvain(g)) > 0.4
 
 
+def test_louvain_finds_the_same_units_in_one_task_and_across_tasks(spark):
+    r = np.random.default_rng(6)
+    names = [f"n{i:02d}" for i in range(48)]
+    pairs = {(names[i], names[j]) for i in range(48) for j in range(i) if r.random() < (0.6 if i // 8 == j // 8 else 0.03)}
+    edges = [(a, b, 1.0) for x, y in pairs for a, b in ((x, y), (y, x))]
+    g = Graph(spark.createDataFrame([(n,) for n in names], "zip string"), spark.createDataFrame(edges, "src string, dst string, weight double"))
+    near, far = regionalize.louvain(g), regionalize.louvain(g, local_edges=0)
+    assert {x.zip: x.unit_id for x in near.collect()} == {x.zip: x.unit_id for x in far.collect()}
+    alone = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "zip string, unit_id bigint")
+    assert regionalize.modularity(g, near) > 0.45 > regionalize.modularity(g, alone)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(2, 14), st.lists(st.tuples(st.integers(0, 13), st.integers(0, 13), st.integers(1, 9)), max_size=40), st.sampled_from([0.5, 1.0, 2.0]))
+def test_communities_never_lower_modularity_and_stay_in_components(n, trips, resolution):
+    trips = [(a % n, b % n, w) for a, b, w in trips]
+    src, dst = np.array([t[0] for t in trips] + [t[1] for t in trips], int), np.array([t[1] for t in trips] + [t[0] for t in trips], int)
+    weight = np.array([t[2] for t in trips] * 2, float)
+    unit = regionalize._communities(src, dst, weight, [f"n{i}" for i in range(n)], resolution)
+
+    def score(label):
+        if not len(weight):
+            return 0.0
+        label = np.unique(label, return_inverse=True)[1]
+        held, inside = np.bincount(label[src], weight), weight[label[src] == label[dst]].sum()
+        return inside / weight.sum() - resolution * (held**2).sum() / weight.sum() ** 2
+
+    assert score(unit.astype(str)) >= score(np.arange(n)) - 1e-9
+    root = min_labels(src, dst, n) if len(src) else np.arange(n)
+    assert all(len(set(root[unit == u])) == 1 for u in set(unit))
+
+
 def test_relabel_and_best(spark):
     df = spark.createDataFrame([("a", 7), ("b", 3), ("c", 7)], "zip string, unit_id bigint")
     assert {r.zip: r.unit_id for r in regionalize.relabel(df).collect()} == {"a": 1, "b": 0, "c": 1}
