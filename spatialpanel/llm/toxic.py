@@ -19,7 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..session import materialise
 from .hashing import grams, mix, words
 
 #: Letters of other alphabets that look like Latin ones (fixed values).
@@ -73,8 +75,8 @@ def _shift(m: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
-def line_features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(feature, line, text number of each line, hash of each line).
+def line_features(texts: list[str], bits: int, hashed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """(feature, line, text number of each line, with ``hashed`` the hash of each line).
 
     feature and line run in parallel, one entry per feature; lines count from 0
     over all texts, in order; every text has at least one line. Mail addresses
@@ -120,13 +122,15 @@ def line_features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray,
         turn = s
     newline = np.flatnonzero(raw == _NEWLINE)
     line_start = np.r_[0, newline[:-1] + 1]
-    cuts = np.union1d(np.union1d(line_start, turn), [len(raw)])
+    mark = np.zeros(len(raw) + 1, bool)
+    mark[line_start] = mark[turn] = mark[len(raw)] = True
+    cuts = np.flatnonzero(mark)
     start, _, h, _ = words(word, cuts, _SAME)
     stars = np.flatnonzero(word == _STAR)
     if len(stars):
         h = h.copy()
         h[np.searchsorted(start, stars, side="right") - 1] = MASKED
-    line = np.searchsorted(line_start, start, side="right") - 1
+    line = (np.cumsum(raw == _NEWLINE) - (raw == _NEWLINE))[start]
     mask = np.uint64((1 << bits) - 1)
     feats, lines = [h & mask], [line]
     for kind, (gap, n) in enumerate([(1, 2), (1, 3), (2, 2), (3, 2)]):
@@ -137,8 +141,9 @@ def line_features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray,
         g = grams(h, 3) if n == 3 else mix(h[:-reach] * np.uint64(2 * kind + 3) + h[reach:])
         feats.append((mix(g + np.uint64(kind + 1)) & mask)[same])
         lines.append(line[:-reach][same])
-    sums = np.zeros(len(line_start), np.uint64)
-    np.add.at(sums, line, mix(h + (np.arange(len(h)) - np.searchsorted(line, line)).astype(np.uint64)))
+    sums = np.zeros(len(line_start), np.uint64) if hashed else None
+    if hashed:
+        np.add.at(sums, line, mix(h + (np.arange(len(h)) - np.searchsorted(line, line)).astype(np.uint64)))
     doc = np.searchsorted(first, line_start, side="right") - 1
     return np.concatenate(feats).astype(np.int64), np.concatenate(lines), doc, sums
 
@@ -154,8 +159,10 @@ class ToxicParams:
     batch_lines: int = 16
     folds: int = 5  # the documents are judged by models trained without their fold
     doubt: float = 0.3  # positive documents whose worst line scores less are taken as mislabelled
+    lift: float = 4.0  # a feature tells of abuse only if positive documents have it so many times oftener than all documents (less where abuse is common)
     dropout: float = 0.4  # share of the features hidden at each step of the training
     max_labelled: int = 20_000  # labelled documents used, the first by hash of the id
+    max_characters: int = 100_000_000  # of these documents together, the first in the same order
     max_terms: int = 10_000  # distinct flag terms that the driver takes; more are an error
     threshold: float = 0.5
 
@@ -190,7 +197,26 @@ def _line_scores(w: np.ndarray, feature: np.ndarray, line: np.ndarray, n: int) -
     return 1 / (1 + np.exp(-np.clip(np.bincount(line, w[feature], n) + w[-1], -30, 30)))
 
 
-def train(texts: list[str], labels: np.ndarray, terms: list[str], p: ToxicParams) -> np.ndarray:
+def _document_counts(feature: np.ndarray, line: np.ndarray, doc: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, feature), each pair once."""
+    pairs = np.unique((doc[line] << bits) | feature)
+    return pairs >> bits, pairs & ((1 << bits) - 1)
+
+
+def _oftener(pos_df: np.ndarray, neg_df: np.ndarray, labels: np.ndarray, often: np.ndarray, least: float) -> np.ndarray:
+    """Which features positive documents have much oftener than all documents.
+
+    Lift is the ratio of both rates; ``least`` is asked of it. How high it can
+    get depends on how rare abuse is: where even the best features - the upper
+    tenth of those that several positive and no negative documents have - reach
+    little, 0.6 of that is asked.
+    """
+    lift = pos_df / labels.sum() / np.maximum(often, 1e-12)
+    best = lift[(pos_df >= 3) & (neg_df == 0)]
+    return (pos_df > 0) & (lift >= (min(least, 0.6 * float(np.quantile(best, 0.9))) if len(best) else 1.0))
+
+
+def train(texts: list[str], labels: np.ndarray, terms: list[str], p: ToxicParams, often: np.ndarray | None = None) -> np.ndarray:
     """Dense weights (the bias last) from labelled documents.
 
     Only the document is labelled, not the line: in a positive document the line
@@ -201,17 +227,23 @@ def train(texts: list[str], labels: np.ndarray, terms: list[str], p: ToxicParams
     unless the first choice has a term that no negative document has, or
     a feature that negative ones all but lack; so does a negative line it flatly contradicts. The final
     model is trained on the rest.
+
+    ``often`` has the share of all documents with each feature. A line stands
+    for a positive document only if it has a term or a feature that positive
+    documents have much oftener than all documents: what few labelled negative
+    documents happen to lack may yet be common.
     """
     if not len(texts) or not labels.any() or labels.all():
         return np.r_[np.zeros(1 << p.bits), -10.0]
-    feature, line, doc, key = line_features(texts, p.bits)
+    feature, line, doc, key = line_features(texts, p.bits, hashed=True)
     n_lines = len(doc)
     positive = labels[doc].astype(bool)
-    seen = np.unique(np.stack([doc[line], feature]), axis=1)
-    pos_df = np.bincount(seen[1][labels[seen[0]] == 1], minlength=1 << p.bits)
-    neg_df = np.bincount(seen[1][labels[seen[0]] == 0], minlength=1 << p.bits)
+    in_doc, has = _document_counts(feature, line, doc, p.bits)
+    pos_df = np.bincount(has[labels[in_doc] == 1], minlength=1 << p.bits)
+    neg_df = np.bincount(has[labels[in_doc] == 0], minlength=1 << p.bits)
     odds = np.log((pos_df + 0.1) / (neg_df + 0.3)) - np.log(labels.sum() / (labels == 0).sum())
-    odds = np.where(pos_df >= min(2, labels.sum()), odds, 0.0)
+    rare = np.ones(1 << p.bits, bool) if often is None else _oftener(pos_df, neg_df, labels, often, p.lift)
+    odds = np.where(rare & (pos_df >= min(2, labels.sum())), odds, 0.0)
     flagged = np.zeros(1 << p.bits, bool)
     if terms:
         flagged[line_features(terms, p.bits)[0]] = True
@@ -220,6 +252,10 @@ def train(texts: list[str], labels: np.ndarray, terms: list[str], p: ToxicParams
     score = 0.01 * np.bincount(line, lead[feature], n_lines)
     np.maximum.at(score, line, lead[feature])
     telling = np.bincount(line, ((flagged & (neg_df == 0)) | ((pos_df >= 3) & (20 * neg_df <= pos_df)))[feature], n_lines) > 0
+    backed = np.bincount(line, ((rare & (pos_df >= min(2, labels.sum()))) | flagged)[feature], n_lines) > 0
+    if often is None:
+        backed[:] = True
+    telling &= backed
     order = np.argsort(line, kind="stable")
     feature_by, starts = feature[order], np.searchsorted(line[order], np.arange(n_lines + 1))
     # one line stands for all negative lines that read the same
@@ -230,7 +266,7 @@ def train(texts: list[str], labels: np.ndarray, terms: list[str], p: ToxicParams
     first, last = np.searchsorted(doc, np.flatnonzero(labels == 1)), np.searchsorted(doc, np.flatnonzero(labels == 1), side="right")
 
     def worst(score: np.ndarray) -> np.ndarray:
-        score = np.where(common, score * 1e-3, score)
+        score = np.where(common | ~backed, score * 1e-3, score)
         return np.array([a + int(np.argmax(score[a:b])) for a, b in zip(first, last)])
 
     def run(pos: np.ndarray, neg: np.ndarray, neg_weight: np.ndarray) -> np.ndarray:
@@ -256,32 +292,86 @@ def train(texts: list[str], labels: np.ndarray, terms: list[str], p: ToxicParams
         judged = np.where(fold == k, _line_scores(w, feature, line, n_lines), judged)
     found = worst(judged)
     best = np.where(judged[found] >= p.doubt, found, best)
-    keep_pos = (judged[best] >= p.doubt) | telling[best]
+    keep_pos = ((judged[best] >= p.doubt) | telling[best]) & backed[best]
     keep_neg = ~((judged[neg] > 0.9) & once)
     return run(best[keep_pos], neg[keep_neg], neg_weight[keep_neg])
 
 
+def feature_shares(documents: DataFrame, wanted: np.ndarray, p: ToxicParams) -> np.ndarray:
+    """Share of all documents with a text that have each of the ``wanted`` features (a mask; others are 0).
+
+    One pass over all texts. A task emits a count per wanted feature it met, so
+    at most 2^bits sums reach the driver whatever the corpus.
+    """
+    sent = documents.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros(1 << p.bits, np.int64), 0
+        for batch in batches:
+            for texts in _chunks(batch.column(0).to_pylist()):
+                rows += len(texts)
+                feature, line, doc, _ = line_features(texts, p.bits)
+                known = sent.value[feature]
+                total += np.bincount(_document_counts(feature[known], line[known], doc, p.bits)[1], minlength=1 << p.bits)
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, met]), pa.array(np.r_[rows, total[met]])], names=["feature", "n"])
+
+    rows = documents.filter("text IS NOT NULL").select("text").mapInArrow(run, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    out, n = np.zeros(1 << p.bits), 0
+    for r in rows:
+        if r.feature < 0:
+            n = r.n
+        else:
+            out[r.feature] = r.n
+    return out / max(n, 1)
+
+
 def fit(documents: DataFrame, labels: DataFrame, terms: DataFrame, p: ToxicParams) -> tuple[np.ndarray, np.ndarray, float]:
     """(indices, weights, bias) of the non-zero weights.
 
     At most ``max_labelled`` labelled documents are used (those first by hash of
-    their id): a bound on what reaches the driver. Contradicting labels of a
+    their id), of at most ``max_characters`` together: a bound on what reaches
+    the driver. Contradicting labels of a
     document are settled by majority; a tie, a NULL label or a NULL text is
-    left out. All distinct ``terms`` are used; more than ``max_terms`` are a
+    left out. How often features are in all documents is counted over all of
+    them. All distinct ``terms`` are used; more than ``max_terms`` are a
     ValueError. Without both kinds of label every document scores about 0.
     """
     votes = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.avg(F.col("toxic").cast("double")).alias("share"))
     votes = votes.filter("share <> 0.5").orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_labelled)
     joined = documents.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(votes), "doc_id")
-    rows = sorted((r.doc_id, r.text, r.share) for r in joined.select("doc_id", "text", "share").collect())
+    sized = materialise(joined.select("doc_id", "share", F.length("text").alias("size"), F.xxhash64("text").alias("h"), "text"), "labelled")
+    before = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "h").rowsBetween(Window.unboundedPreceding, 0))
+    within = sized.select("doc_id", "h", "size").withColumn("_upto", before).filter(F.col("_upto") <= p.max_characters).select("doc_id", "h").distinct()
+    rows = sorted((r.doc_id, r.text, r.share) for r in sized.join(F.broadcast(within), ["doc_id", "h"]).select("doc_id", "text", "share").collect())
     known = sorted(r.term for r in terms.filter("term IS NOT NULL").select("term").distinct().limit(p.max_terms + 1).collect())
     if len(known) > p.max_terms:
         raise ValueError(f"more than {p.max_terms} distinct terms")
-    w = train([r[1] for r in rows], np.array([int(r[2] > 0.5) for r in rows]), known, p)
+    texts, toxic = [r[1] for r in rows], np.array([int(r[2] > 0.5) for r in rows], int)
+    often = None
+    if toxic.any():
+        feature, line, doc, _ = line_features([t for t, y in zip(texts, toxic) if y], p.bits)
+        wanted = np.bincount(_document_counts(feature, line, doc, p.bits)[1], minlength=1 << p.bits) >= min(2, toxic.sum())
+        often = feature_shares(documents, wanted, p)
+    w = train(texts, toxic, known, p, often)
     used = np.flatnonzero(w[:-1])
     return used.astype(np.int32), w[used].astype(np.float32), float(w[-1])
 
 
+def _chunks(texts: list[str | None], chunk: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts in groups of about ``chunk`` characters; NULL is empty."""
+    held: list[str] = []
+    size = 0
+    for t in texts:
+        held.append(t or "")
+        size += len(held[-1])
+        if size >= chunk:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def score_documents(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float], p: ToxicParams, chunk: int = 1 << 20) -> DataFrame:
     """(doc_id, source, score): the probability of each document's worst line.
 
@@ -298,17 +388,10 @@ def score_documents(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, f
         w[used], w[-1] = weight, bias
         for batch in batches:
             out: list[np.ndarray] = []
-            held: list[str] = []
-            size = 0
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            for k, t in enumerate(texts):
-                held.append(t)
-                size += len(t)
-                if size >= chunk or k == len(texts) - 1:
-                    feature, line, doc, _ = line_features(held, p.bits)
-                    lines = _line_scores(w, feature, line, len(doc))
-                    out.append(np.maximum.reduceat(lines, np.searchsorted(doc, np.arange(len(held)))))
-                    held, size = [], 0
+            for texts in _chunks(batch.column(2).to_pylist(), chunk):
+                feature, line, doc, _ = line_features(texts, p.bits)
+                lines = _line_scores(w, feature, line, len(doc))
+                out.append(np.maximum.reduceat(lines, np.searchsorted(doc, np.arange(len(texts)))))
             if out:
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(np.concatenate(out))], schema=rows)
 

@@ -86,7 +86,7 @@ def test_only_the_address_of_a_line_is_left_out(line):
 
 
 def test_lines_texts_and_empty(spark, model):
-    f, line, doc, key = toxic.line_features(["a\nb\r\nc", "", "a"], 16)
+    f, line, doc, key = toxic.line_features(["a\nb\r\nc", "", "a"], 16, hashed=True)
     assert doc.tolist() == [0, 0, 0, 1, 2] and key[0] == key[4] and len(f) == 4 and line.tolist() == [0, 1, 2, 4]
     p, w = model
     used = np.flatnonzero(w[:-1])
@@ -114,6 +114,29 @@ def test_fit_settles_labels_and_survives_empty_tables(spark):
         assert all(r.score < 0.01 for r in toxic.score_documents(docs, none, p).collect())
 
 
+def test_what_is_common_in_the_corpus_does_not_tell(spark):
+    """The labelled negatives happen to lack a phrase that many documents have: it must not be learnt."""
+    p = toxic.ToxicParams(bits=16)
+    texts, labels = corpus(7, 300)
+    phrase = "\nMerge remote tracking branch origin main"
+    shown = [t + phrase if y and i % 4 == 0 else t for i, (t, y) in enumerate(zip(texts, labels))]
+    others = [t + phrase for t in corpus(8, 400)[0]]
+    plain = [t for t, y in zip(*corpus(9, 300)) if not y]
+    rows = [(i, t, "s", 1, 2) for i, t in enumerate(shown + others + plain)]
+    docs = spark.createDataFrame(rows, DOCS)
+    marks = spark.createDataFrame([(i, "a", int(y)) for i, y in enumerate(labels)], "doc_id bigint, reviewer string, toxic int")
+    terms = spark.createDataFrame([("idiot", "abuse")], "term string, category string")
+    model = toxic.fit(docs, marks, terms, p)
+    probe = spark.createDataFrame([(i, t + phrase, "s", 1, 2) for i, t in enumerate(plain)], DOCS)
+    assert toxic.score_documents(probe, model, p).filter("score >= 0.5").count() == 0
+    f, _, _, _ = toxic.line_features([phrase], 16)
+    wanted = np.zeros(1 << 16, bool)
+    wanted[f] = True
+    assert toxic.feature_shares(docs, wanted, p)[f].max() == pytest.approx((400 + sum(labels[::4])) / len(rows), abs=0.02)
+    few = toxic.fit(docs, marks, terms, toxic.ToxicParams(bits=16, max_characters=0))
+    assert toxic.score_documents(docs, few, p).filter("score >= 0.5").count() == 0
+
+
 def test_terms_beyond_the_bound_are_an_error(spark):
     docs = spark.createDataFrame([(1, "fine", "s", 1, 2)], DOCS)
     marks = spark.createDataFrame([(1, "a", 0)], "doc_id bigint, reviewer string, toxic int")
