@@ -19,7 +19,7 @@ from .operators.spikes import SpikeModel, flag_readings
 from .operators.synth import lattice_grid, make_embeddings
 from .operators.timegrid import daily_totals, regular_grid, rolling_totals, usable_readings
 from .schema import from_wide, to_wide
-from .session import clear_written
+from .session import clear_written, discard, materialise
 from .sources.shapefile import polygons_shp, write_shp
 from .sources.tables import edges_csv, polygons, table, write
 
@@ -42,8 +42,10 @@ def evaluate_units(assignments: dict, vectors, graph: Graph):
     """
     rows = []
     for name, units in assignments.items():
-        q, c = quality_scores(vectors.join(units, "zip")), contiguity_score(units, graph)
+        labelled = materialise(vectors.join(units, "zip"), "labelled")
+        q, c = quality_scores(labelled), contiguity_score(units, graph)
         rows.append((name, q["silhouette"], q["davies_bouldin"], float(c["connected_fraction"]), c["n_clusters"]))
+        discard(labelled)
     return vectors.sparkSession.createDataFrame(rows, "method string, silhouette double, davies_bouldin double, connected_fraction double, n_clusters bigint")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import api, schema
 from ..operators import augment, encoder, metrics, panel, regionalize, skew
 from ..operators import graph as G
-from ..session import scratch
+from ..session import materialise, scratch
 from ..sources import shapefile, tables
 from ..sources.tables import table
 from ..streaming import edges as stream
@@ -206,7 +206,7 @@ EVALUATION = f"""WITH RECURSIVE {PAIRS}, {ORDER}, v AS (SELECT zip, min([{", ".j
 
 def _evaluated(spark: SparkSession, d: str) -> DataFrame:
     v, g = _zip_graph(spark, d)
-    labels = _labels(spark, d).join(v, "zip", "left_semi")
+    labels = materialise(_labels(spark, d).join(v, "zip", "left_semi"), "labels")
     ways = {name: labels.select("zip", (F.col("unit_id") % k).alias("unit_id")) for name, k in (("coarse", 4), ("fine", 9))}
     scores = api.evaluate_units(ways, v, G.induced(g, labels))
     return scores.select("method", *[F.round(c, 6).alias(c) for c in ("silhouette", "davies_bouldin", "connected_fraction")], "n_clusters")

@@ -532,7 +532,9 @@ def unit_evaluation(spark, d):
     ways = {"skater": materialise(_skater(v, g), "units"), "mapping": _labels(spark, d).join(v, "zip", "left_semi")}
     rows = []
     for name, units in ways.items():
-        q = metrics.quality_scores(v.join(units, "zip"))
+        labelled = materialise(v.join(units, "zip"), "labelled")
+        units = labelled.select("zip", "unit_id")
+        q = metrics.quality_scores(labelled)
         c = metrics.contiguity_score(units, G.induced(g, units))
         rows.append((name, q["silhouette"], q["davies_bouldin"], float(c["connected_fraction"])))
     return spark.createDataFrame(rows, "method string, silhouette double, davies_bouldin double, connected_fraction double")
