@@ -162,7 +162,7 @@ class ToxicParams:
     lift: float = 4.0  # a feature tells of abuse only if positive documents have it so many times oftener than all documents (less where abuse is common)
     dropout: float = 0.4  # share of the features hidden at each step of the training
     max_labelled: int = 20_000  # labelled documents used, the first by hash of the id
-    max_characters: int = 100_000_000  # of these documents together, the first in the same order
+    max_characters: int = 30_000_000  # of these documents together, the first in the same order
     max_terms: int = 10_000  # distinct flag terms that the driver takes; more are an error
     threshold: float = 0.5
 
@@ -199,7 +199,8 @@ def _line_scores(w: np.ndarray, feature: np.ndarray, line: np.ndarray, n: int) -
 
 def _document_counts(feature: np.ndarray, line: np.ndarray, doc: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, feature), each pair once."""
-    pairs = np.unique((doc[line] << bits) | feature)
+    pairs = np.sort((doc[line] << bits) | feature)  # faster than unique, which hashes
+    pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
     return pairs >> bits, pairs & ((1 << bits) - 1)
 
 
@@ -216,7 +217,39 @@ def _oftener(pos_df: np.ndarray, neg_df: np.ndarray, labels: np.ndarray, often:
     return (pos_df > 0) & (lift >= (min(least, 0.6 * float(np.quantile(best, 0.9))) if len(best) else 1.0))
 
 
-def train(texts: list[str], labels: np.ndarray, terms: list[str], p: ToxicParams, often: np.ndarray | None = None) -> np.ndarray:
+@dataclass(frozen=True)
+class Labelled:
+    """Features of the labelled documents and in how many positive and negative ones each is."""
+
+    feature: np.ndarray
+    line: np.ndarray
+    doc: np.ndarray
+    key: np.ndarray
+    pos_df: np.ndarray
+    neg_df: np.ndarray
+    odds: np.ndarray  # log odds of a feature over those of the labels; 0 if it is in a single positive document only
+
+    @property
+    def doubled(self) -> np.ndarray:
+        """Features whose odds are at least twice those of the labels."""
+        return self.odds > np.log(2)
+
+    @staticmethod
+    def of(texts: list[str], labels: np.ndarray, bits: int) -> Labelled:
+        parts, lines, docs = [], 0, 0
+        for some in _chunks(texts):  # bounds the memory that bytes take while they are taken apart
+            f, at, d, h = line_features(some, bits, hashed=True)
+            parts.append((f, at + lines, d + docs, h))
+            lines, docs = lines + len(d), docs + len(some)
+        feature, line, doc, key = (np.concatenate([x[i] for x in parts]) for i in range(4))
+        in_doc, has = _document_counts(feature, line, doc, bits)
+        pos_df = np.bincount(has[labels[in_doc] == 1], minlength=1 << bits)
+        neg_df = np.bincount(has[labels[in_doc] == 0], minlength=1 << bits)
+        odds = np.log((pos_df + 0.1) / (neg_df + 0.3)) - np.log(labels.sum() / (labels == 0).sum())
+        return Labelled(feature, line, doc, key, pos_df, neg_df, np.where(pos_df >= min(2, labels.sum()), odds, 0.0))
+
+
+def train(texts: list[str], labels: np.ndarray, terms: list[str], p: ToxicParams, often: np.ndarray | None = None, known: Labelled | None = None) -> np.ndarray:
     """Dense weights (the bias last) from labelled documents.
 
     Only the document is labelled, not the line: in a positive document the line
@@ -231,19 +264,17 @@ def train(texts: list[str], labels: np.ndarray, terms: list[str], p: ToxicParams
     ``often`` has the share of all documents with each feature. A line stands
     for a positive document only if it has a term or a feature that positive
     documents have much oftener than all documents: what few labelled negative
-    documents happen to lack may yet be common.
+    documents happen to lack may yet be common. ``known`` are the documents'
+    features where the caller has them.
     """
     if not len(texts) or not labels.any() or labels.all():
         return np.r_[np.zeros(1 << p.bits), -10.0]
-    feature, line, doc, key = line_features(texts, p.bits, hashed=True)
+    k = known or Labelled.of(texts, labels, p.bits)
+    feature, line, doc, key, pos_df, neg_df = k.feature, k.line, k.doc, k.key, k.pos_df, k.neg_df
     n_lines = len(doc)
     positive = labels[doc].astype(bool)
-    in_doc, has = _document_counts(feature, line, doc, p.bits)
-    pos_df = np.bincount(has[labels[in_doc] == 1], minlength=1 << p.bits)
-    neg_df = np.bincount(has[labels[in_doc] == 0], minlength=1 << p.bits)
-    odds = np.log((pos_df + 0.1) / (neg_df + 0.3)) - np.log(labels.sum() / (labels == 0).sum())
-    rare = np.ones(1 << p.bits, bool) if often is None else _oftener(pos_df, neg_df, labels, often, p.lift)
-    odds = np.where(rare & (pos_df >= min(2, labels.sum())), odds, 0.0)
+    rare = k.odds > 0 if often is None else k.doubled & _oftener(pos_df, neg_df, labels, often, p.lift)
+    odds = np.where(rare, k.odds, 0.0)
     flagged = np.zeros(1 << p.bits, bool)
     if terms:
         flagged[line_features(terms, p.bits)[0]] = True
@@ -252,7 +283,7 @@ def train(texts: list[str], labels: np.ndarray, terms: list[str], p: ToxicParams
     score = 0.01 * np.bincount(line, lead[feature], n_lines)
     np.maximum.at(score, line, lead[feature])
     telling = np.bincount(line, ((flagged & (neg_df == 0)) | ((pos_df >= 3) & (20 * neg_df <= pos_df)))[feature], n_lines) > 0
-    backed = np.bincount(line, ((rare & (pos_df >= min(2, labels.sum()))) | flagged)[feature], n_lines) > 0
+    backed = np.bincount(line, (rare | flagged)[feature], n_lines) > 0
     if often is None:
         backed[:] = True
     telling &= backed
@@ -348,12 +379,11 @@ def fit(documents: DataFrame, labels: DataFrame, terms: DataFrame, p: ToxicParam
     if len(known) > p.max_terms:
         raise ValueError(f"more than {p.max_terms} distinct terms")
     texts, toxic = [r[1] for r in rows], np.array([int(r[2] > 0.5) for r in rows], int)
-    often = None
-    if toxic.any():
-        feature, line, doc, _ = line_features([t for t, y in zip(texts, toxic) if y], p.bits)
-        wanted = np.bincount(_document_counts(feature, line, doc, p.bits)[1], minlength=1 << p.bits) >= min(2, toxic.sum())
-        often = feature_shares(documents, wanted, p)
-    w = train(texts, toxic, known, p, often)
+    often = parts = None
+    if toxic.any() and not toxic.all():
+        parts = Labelled.of(texts, toxic, p.bits)
+        often = feature_shares(documents, parts.doubled, p)
+    w = train(texts, toxic, known, p, often, parts)
     used = np.flatnonzero(w[:-1])
     return used.astype(np.int32), w[used].astype(np.float32), float(w[-1])
 

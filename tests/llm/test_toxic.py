@@ -137,6 +137,16 @@ def test_what_is_common_in_the_corpus_does_not_tell(spark):
     assert toxic.score_documents(docs, few, p).filter("score >= 0.5").count() == 0
 
 
+def test_labelled_features_in_chunks_are_those_at_once(monkeypatch):
+    texts, labels = corpus(11, 60)
+    whole = toxic.Labelled.of(texts, labels, 16)
+    chunks = toxic._chunks
+    monkeypatch.setattr(toxic, "_chunks", lambda t: chunks(t, 1500))
+    parts = toxic.Labelled.of(texts, labels, 16)
+    order = lambda k: sorted(zip(k.line.tolist(), k.feature.tolist()))
+    assert order(whole) == order(parts) and (whole.doc == parts.doc).all() and (whole.key == parts.key).all() and (whole.odds == parts.odds).all()
+
+
 def test_terms_beyond_the_bound_are_an_error(spark):
     docs = spark.createDataFrame([(1, "fine", "s", 1, 2)], DOCS)
     marks = spark.createDataFrame([(1, "a", 0)], "doc_id bigint, reviewer string, toxic int")
