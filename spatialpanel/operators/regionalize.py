@@ -278,14 +278,42 @@ def _gram(vec: DataFrame, dims: int) -> np.ndarray:
     return gram.reshape(dims, dims)
 
 
-def spectral_embedding(g: Graph, dims: int, rounds: int = 100, seed: int = 0, tolerance: float = 1e-3) -> DataFrame:
+def _orthonormal(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix that turns rows into an orthonormal basis of their columns' span, eigenvalues after two rounds from such a basis)."""
+    value, basis = np.linalg.eigh(gram)
+    return basis / np.sqrt(np.maximum(value, 1e-300)), np.maximum(value, 0.0) ** 0.25
+
+
+def _iterate(pdf: pd.DataFrame, rounds: int, tolerance: float) -> pd.DataFrame:
+    """The rounds of ``spectral_embedding`` on arrays: rows (zip, vec) of nodes and (zip, dst, w) of edges."""
+    nodes, edges = pdf[pdf["dst"].isna()].sort_values("zip"), pdf[pdf["dst"].notna()].sort_values("zip", kind="stable")
+    zips = nodes["zip"].to_numpy()
+    src, dst = np.searchsorted(zips, edges["zip"].to_numpy()), np.searchsorted(zips, edges["dst"].to_numpy())
+    starts, w, x = np.flatnonzero(np.r_[True, src[1:] != src[:-1]]), edges["w"].to_numpy(float)[:, None], np.stack(nodes["vec"].to_numpy())
+    last, still = None, False
+    for turn in range(rounds):
+        met = np.zeros_like(x)
+        met[src[starts]] = np.add.reduceat(w * x[dst], starts)
+        x = (x + met) / 2
+        if turn % 2 == 0:
+            continue
+        turn_to, now = _orthonormal(x.T @ x)
+        x = x @ turn_to
+        if still := last is not None and np.abs(now - last).max() <= tolerance:
+            break
+        last = now
+    return pd.DataFrame({"zip": zips, "vec": list(x), "still": still})
+
+
+def spectral_embedding(g: Graph, dims: int, rounds: int = 100, seed: int = 0, tolerance: float = 1e-3, local_edges: int = 400_000) -> DataFrame:
     """(zip, vec): the leading ``dims`` eigenvectors' span of the normalised adjacency, rows of unit length.
 
     Subspace iteration: vec <- (vec + neighbours' vec by normalised weight) / 2,
     orthonormalised every other round through its dims x dims Gram matrix, the
     only thing that reaches the driver. It ends when no eigenvalue moves by more
     than ``tolerance``, with a warning if that takes over ``rounds`` rounds. Every
-    other round is written to the shared folder. Islands do not come out.
+    other round is written to the shared folder; at most ``local_edges`` edges go
+    through the same rounds in one task of that bounded size. Islands do not come out.
     """
     edges = materialise(g.edges.select("src", "dst", "weight"), "affinities")
     degree = materialise(edges.groupBy(F.col("src").alias("zip")).agg(F.sum("weight").alias("d")), "degrees")
@@ -294,7 +322,16 @@ def spectral_embedding(g: Graph, dims: int, rounds: int = 100, seed: int = 0, to
     discard(edges)
     item = lambda c, i: F.get(c, F.lit(i))
     vec, last, held = degree.select("zip", F.array(*[normal(seed, f"spectral{i}", F.col("zip")) for i in range(dims)]).alias("vec")), None, degree
-    for turn in range(rounds):
+    still = False
+    if 0 < step.count() <= local_edges:
+        kind = degree.schema["zip"].dataType.simpleString()
+        rows = vec.select(F.lit(0).alias("g"), "zip", "vec", F.lit(None).cast(kind).alias("dst"), F.lit(None).cast("double").alias("w"))
+        rows = rows.unionByName(step.select(F.lit(0).alias("g"), F.col("src").alias("zip"), F.lit(None).cast("array<double>").alias("vec"), "dst", "w"))
+        vec = materialise(rows.groupBy("g").applyInPandas(lambda pdf: _iterate(pdf, rounds, tolerance), f"zip {kind}, vec array<double>, still boolean"), "spectral")
+        still, rounds_here = vec.filter("NOT still").isEmpty(), 0
+    else:
+        rounds_here = rounds
+    for turn in range(rounds_here):
         met = with_fact(step, vec, "dst", {"vec": "vec"}).groupBy(F.col("src").alias("zip")).agg(F.array(*[F.sum(F.col("w") * item("vec", i)) for i in range(dims)]).alias("n"))
         vec = vec.join(met, "zip").select("zip", F.zip_with("vec", "n", lambda x, y: (x + y) / 2).alias("vec"))
         if turn % 2 == 0:
@@ -302,14 +339,12 @@ def spectral_embedding(g: Graph, dims: int, rounds: int = 100, seed: int = 0, to
         vec = materialise(vec, "spectral")
         discard(held)
         held = vec
-        value, basis = np.linalg.eigh(_gram(vec, dims))
-        turn_to = (basis / np.sqrt(np.maximum(value, 1e-300))).T
-        vec = vec.select("zip", times_vector(literal(turn_to), F.col("vec")).alias("vec"))
-        now = np.maximum(value, 0.0) ** 0.25  # two rounds from an orthonormal basis square each eigenvalue twice in the Gram matrix
-        if last is not None and np.abs(now - last).max() <= tolerance:
+        turn_to, now = _orthonormal(_gram(vec, dims))
+        vec = vec.select("zip", times_vector(literal(turn_to.T), F.col("vec")).alias("vec"))
+        if still := last is not None and np.abs(now - last).max() <= tolerance:
             break
         last = now
-    else:
+    if not still:
         warnings.warn(f"spectral embedding: eigenvalues still move after {rounds} rounds", RuntimeWarning, stacklevel=2)
     return vec.select("zip", unit(F.col("vec")).alias("vec"))
 

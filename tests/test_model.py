@@ -243,6 +243,19 @@ def test_louvain_and_spectral_find_cliques(spark):
     assert regionalize.modularity(g, regionalize.louvain(g)) > 0.4
 
 
+def test_spectral_embedding_in_one_task_and_across_tasks(spark):
+    names = [f"{c}{i}" for c in "abc" for i in range(5)]
+    edges = [(x, y, 1.0) for x in names for y in names if x != y and x[0] == y[0]]
+    g = Graph(spark.createDataFrame([(n,) for n in names], "zip string"), spark.createDataFrame(edges, "src string, dst string, weight double"))
+    for local in (0, 1000):
+        v = {r.zip: np.array(r.vec) for r in regionalize.spectral_embedding(g, 3, local_edges=local).collect()}
+        same = np.array([[v[a] @ v[b] for b in names] for a in names])
+        assert np.allclose(same, [[float(a[0] == b[0]) for b in names] for a in names], atol=1e-3)
+    with pytest.warns(RuntimeWarning, match="still move"):
+        regionalize.spectral_embedding(g, 3, rounds=2)
+    assert regionalize.spectral_embedding(Graph(g.nodes, g.edges.limit(0)), 2).count() == 0
+
+
 def test_louvain_finds_the_same_units_in_one_task_and_across_tasks(spark):
     r = np.random.default_rng(6)
     names = [f"n{i:02d}" for i in range(48)]
