@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..schema import require_columns
 from ..session import discard, materialise
-from .skew import join_group_facts, salted
+from .skew import join_group_facts, salted, shuffled
 
 #: A node with more edges than this is a hub: its edges are dealt over several tasks where they meet a fact of the node.
 HUB = 1_000_000
@@ -135,9 +135,9 @@ def knn_edges(points: DataFrame, k: int, key: str = "geo_id", x: str = "latitude
     cell = lambda df: df.withColumn("ix", F.floor(F.col("x") / side)).withColumn("iy", F.floor(F.col("y") / side))
     laddered = cell(places.withColumn("level", levels))
     counts = laddered.groupBy("level", "ix", "iy").agg(F.sum("m").alias("c")).filter(F.col("c") > 2 * k + 1)
-    chosen = laddered.join(counts, ["level", "ix", "iy"], "left_semi").groupBy("x", "y").agg(F.min("level").alias("level"))
+    chosen = laddered.join(shuffled(counts), ["level", "ix", "iy"], "left_semi").groupBy("x", "y").agg(F.min("level").alias("level"))
     within = F.coalesce(F.pow(F.lit(4.0), F.col("level")) * (2 + 1e-9), F.lit(math.inf)).alias("within")
-    chosen = places.select("x", "y").join(chosen, ["x", "y"], "left").select("x", "y", F.coalesce("level", F.lit(top)).alias("level"), within)
+    chosen = places.select("x", "y").join(shuffled(chosen), ["x", "y"], "left").select("x", "y", F.coalesce("level", F.lit(top)).alias("level"), within)
     chosen = materialise(chosen, "cells")
     used = [r.level for r in chosen.select("level").distinct().collect()]
     around = F.explode(F.sequence(F.lit(-2), F.lit(2)))
@@ -146,11 +146,11 @@ def knn_edges(points: DataFrame, k: int, key: str = "geo_id", x: str = "latitude
     d2 = F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2)
     cells = ["level", "ix", "iy"]  # a coarse cell, asked for by far places, offers very many
     many, few = salted(offered, asked, cells, near_ids.count() * len(used))
-    met = many.join(few, [*cells, "_salt"]).filter(d2 <= F.col("within")).select("x", "y", "dst", d2.alias("d2"))
+    met = shuffled(many).join(shuffled(few), [*cells, "_salt"]).filter(d2 <= F.col("within")).select("x", "y", "dst", d2.alias("d2"))
     first = F.row_number().over(Window.partitionBy("x", "y").orderBy("d2", "dst"))
     best = met.withColumn("r", first).filter(F.col("r") <= k + 1).groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct("r", "dst"))).alias("_near"))
-    sized = good.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).join(best, ["x", "y"]).select(F.xxhash64("x", "y").alias("h"), F.col("x").alias("_px"), F.col("y").alias("_py"), "n", "_near")
-    rows = join_group_facts(good.withColumn("h", F.xxhash64("x", "y")), sized, "h", "n", good.count()).filter("x = _px AND y = _py")
+    sized = good.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).join(shuffled(best), ["x", "y"]).select(F.xxhash64("x", "y").alias("h"), F.col("x").alias("_px"), F.col("y").alias("_py"), "n", "_near")
+    rows = join_group_facts(good.withColumn("h", F.xxhash64("x", "y")), shuffled(sized), "h", "n", good.count()).filter("x = _px AND y = _py")
     mine = F.slice(F.filter("_near", lambda s: s["dst"] != F.col("id")), 1, k)
     return rows.select(F.col("id").alias("src"), F.explode(mine).alias("e")).select("src", F.col("e.dst").alias("dst"))
 

@@ -76,6 +76,15 @@ def salted(many: DataFrame, few: DataFrame, on: list[str], total: int | None = N
     return many.join(hot, on, "left").withColumn("_salt", own).drop("_salts"), few.join(hot, on, "left").withColumn("_salt", every).drop("_salts")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df``, not to be broadcast in its next join.
+
+    Spark estimates a table's size from its compressed files and counts neither
+    exploded rows nor long arrays; what it then broadcasts passes through the driver.
+    """
+    return df.hint("merge")
+
+
 def positions(df: DataFrame, key: str, name: str = "pos") -> DataFrame:
     """(key, pos): the distinct non-NULL keys numbered 0, 1, ... in ascending order.
 

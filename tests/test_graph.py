@@ -81,6 +81,14 @@ def test_knn_small_tables_and_errors(spark):
     assert set(pairs(G.radius_graph(df, 0.5))) == {("a", "b"), ("b", "a")}
 
 
+def test_knn_broadcasts_only_what_is_bounded(spark):
+    """Spark's estimate of the exploded cells is that of the table they come from, whatever their number."""
+    r = random.Random(7)
+    df = spark.createDataFrame([(f"p{i:03d}", r.random(), r.random()) for i in range(300)], "geo_id string, latitude double, longitude double")
+    plan = G.knn_graph(df, 4).edges._jdf.queryExecution()
+    assert plan.executedPlan().toString().count("BroadcastHashJoin") == plan.optimizedPlan().toString().count("strategy=broadcast") > 0
+
+
 def test_contiguity_rules(spark):
     square = lambda x, y: [{"x": x + a, "y": y + b} for a, b in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))]
     df = spark.createDataFrame([("a", square(0, 0)), ("b", square(1, 0)), ("c", square(1, 1)), ("island", square(9, 9)), (None, square(0, 1))], "zip string, ring array<struct<x:double,y:double>>")
