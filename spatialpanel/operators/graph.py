@@ -171,7 +171,7 @@ def radius_graph(points: DataFrame, radius: float, key: str = "geo_id", x: str =
     other = cells.select(F.col("src").alias("dst"), F.col("x").alias("_x"), F.col("y").alias("_y"), "ix", "iy")
     close = F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2) <= radius * radius
     many, few = salted(other, near, ["ix", "iy"])
-    met = many.join(few, ["ix", "iy", "_salt"]).filter(F.col("src") != F.col("dst")).filter(close)
+    met = many.join(shuffled(few), ["ix", "iy", "_salt"]).filter(F.col("src") != F.col("dst")).filter(close)
     return Graph(good.select(F.col("src").alias("zip")).distinct(), met.select("src", "dst").distinct().withColumn("weight", F.lit(1.0)))
 
 
@@ -272,7 +272,7 @@ def with_fact(edges: DataFrame, facts: DataFrame, end: str, names: dict[str, str
     """Edges joined with columns of ``facts`` (zip, ...; one row per zip) at one ``end``, renamed by ``names``; hubs are salted."""
     kept = facts.select(F.col("zip").alias(end), *[F.col(c).alias(n) for c, n in names.items()])
     many, few = salted(edges, kept, [end], least=HUB)
-    return many.join(few, [end, "_salt"]).drop("_salt")
+    return many.join(shuffled(few), [end, "_salt"]).drop("_salt")
 
 
 def neighbour_sum(g: Graph, vectors: DataFrame, dims: int) -> DataFrame:
@@ -280,7 +280,7 @@ def neighbour_sum(g: Graph, vectors: DataFrame, dims: int) -> DataFrame:
     met = with_fact(g.edges.select("src", "dst"), vectors, "dst", {"vec": "vec"})
     sums = met.groupBy(F.col("src").alias("zip")).agg(F.array(*[F.sum(F.get("vec", F.lit(i))) for i in range(dims)]).alias("nbr"))
     zeros = F.array(*[F.lit(0.0)] * dims)
-    return vectors.select("zip").join(sums, "zip", "left").select("zip", F.coalesce("nbr", zeros).alias("nbr"))
+    return vectors.select("zip").join(shuffled(sums), "zip", "left").select("zip", F.coalesce("nbr", zeros).alias("nbr"))
 
 
 def within_label(g: Graph, labels: DataFrame) -> Graph:

@@ -19,8 +19,8 @@ from ..functions.vectors import literal, square_distance, times_vector, unit
 from ..schema import all_finite, require_unique
 from ..session import discard, materialise
 from .blocks import matrix
-from .graph import Graph, components, with_fact
-from .skew import positions
+from .graph import HUB, Graph, components, with_fact
+from .skew import positions, shuffled
 
 
 @dataclass(frozen=True)
@@ -421,6 +421,21 @@ def _finish_louvain(resolution: float):
     return run
 
 
+def _links(level: Graph, own: DataFrame, total: float, resolution: float, hubs: bool) -> tuple[DataFrame, float]:
+    """(zip, unit_id, k, c, w): each node's summed weight to every community ``c`` around it, loops left out; and the modularity.
+
+    ``own`` is (zip, unit_id, k, s) with a node's strength and the weight of its
+    loop. What a round needs of the edges is in the links, so a round reads them once.
+    """
+    apart, ends = level.edges.filter("src <> dst"), own.select(F.col("zip").alias("dst"), F.col("unit_id").alias("c"))
+    met = with_fact(apart, own, "dst", {"unit_id": "c"}) if hubs else apart.join(shuffled(ends), "dst")
+    met = met.groupBy(F.col("src").alias("zip"), "c").agg(F.sum("weight").alias("w"))
+    links = materialise(shuffled(met).join(own, "zip").select("zip", "unit_id", "k", "c", "w"), "louvain")
+    inside = links.filter("c = unit_id").agg(F.sum("w")).first()[0] or 0.0
+    r = own.groupBy("unit_id").agg(F.sum("k").alias("t"), F.sum("s").alias("s")).agg(F.sum(F.col("t") * F.col("t")).alias("q"), F.sum("s").alias("s")).first()
+    return links, (inside + r.s) / total - resolution * r.q / (total * total)
+
+
 def louvain(g: Graph, resolution: float = 1.0, local_edges: int = 400_000) -> DataFrame:
     """(zip, unit_id): communities by rounds of local moves, then merging communities into nodes.
 
@@ -434,47 +449,47 @@ def louvain(g: Graph, resolution: float = 1.0, local_edges: int = 400_000) -> Da
     task of that bounded size goes through the same rounds. Islands are units of
     their own.
     """
-    label = materialise(g.nodes.select("zip", F.xxhash64("zip").alias("unit_id")), "louvain")
-    level, member = g, label.select("zip", F.col("zip").alias("node"))
+    member = g.nodes.select("zip", F.col("zip").alias("node"))
+    level = Graph(g.nodes, materialise(g.edges.select("src", "dst", "weight"), "louvain"))  # read again in every round
     while True:
         if level.edges.count() <= local_edges:
             units = level.edges.select("src", "dst", "weight", F.lit(0).alias("_one")).groupBy("_one").applyInPandas(_finish_louvain(resolution), "node string, unit string")
             member = member.join(units, "node", "left").select("zip", F.coalesce("unit", "node").alias("node"))
             break
-        own = materialise(level.nodes.select("zip", F.xxhash64("zip").alias("unit_id")), "louvain")
-        strength = level.edges.groupBy(F.col("src").alias("zip")).agg(F.sum("weight").alias("k"))
-        total = strength.agg(F.sum("k")).first()[0] or 0.0
+        loop = F.when(F.col("src") == F.col("dst"), F.col("weight")).otherwise(0.0)
+        strength = level.edges.groupBy(F.col("src").alias("zip")).agg(F.sum("weight").alias("k"), F.sum(loop).alias("s"))
+        zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("k", "s")]
+        own = materialise(level.nodes.join(shuffled(strength), "zip", "left").select("zip", F.xxhash64("zip").alias("unit_id"), *zero), "louvain")
+        total = own.agg(F.sum("k")).first()[0] or 0.0
         if not total:
             break
-        start = best = modularity(level, own, resolution)
-        turn = failed = 0
+        hubs = not level.edges.groupBy("dst").count().filter(F.col("count") > HUB).isEmpty()  # looked for once, not in every round
+        links, best = _links(level, own, total, resolution, hubs)
+        start, turn, failed = best, 0, 0
         while failed < 2:
-            sized = own.join(strength, "zip", "left").select("zip", "unit_id", F.coalesce("k", F.lit(0.0)).alias("k"))
-            unit = sized.groupBy("unit_id").agg(F.sum("k").alias("t"))
-            links = with_fact(level.edges.filter("src <> dst"), own, "dst", {"unit_id": "c"}).groupBy(F.col("src").alias("zip"), "c").agg(F.sum("weight").alias("w"))
-            gain = F.col("w") - F.lit(resolution) * F.col("k") * (F.col("t") - F.when(F.col("c") == F.col("unit_id"), F.col("k")).otherwise(0.0)) / F.lit(total)
-            scored = links.join(sized, "zip").join(unit.withColumnRenamed("unit_id", "c"), "c").withColumn("gain", gain)
-            here = scored.filter("c = unit_id").select("zip", F.col("gain").alias("_here"))
-            way = F.col("c") < F.col("unit_id") if turn % 2 == 0 else F.col("c") > F.col("unit_id")
-            top = scored.filter(way).groupBy("zip").agg(F.max(F.struct("gain", "c")).alias("m")).join(here, "zip", "left")
+            unit = own.groupBy(F.col("unit_id").alias("c")).agg(F.sum("k").alias("t"))
+            here, way = F.col("c") == F.col("unit_id"), F.col("c") < F.col("unit_id") if turn % 2 == 0 else F.col("c") > F.col("unit_id")
+            gain = F.col("w") - F.lit(resolution) * F.col("k") * (F.col("t") - F.when(here, F.col("k")).otherwise(0.0)) / F.lit(total)
+            scored = links.join(shuffled(unit), "c").withColumn("gain", gain)
+            top = scored.groupBy("zip").agg(F.max(F.when(way, F.struct("gain", "c"))).alias("m"), F.max(F.when(here, F.col("gain"))).alias("_here"))
             moves = top.filter(F.col("m.gain") > F.coalesce("_here", F.lit(0.0)) + 1e-12).select("zip", F.col("m.c").alias("_to"))
-            new = materialise(own.join(moves, "zip", "left").select("zip", F.coalesce("_to", "unit_id").alias("unit_id")), "louvain")
-            score = modularity(level, new, resolution)
+            new = materialise(own.join(shuffled(moves), "zip", "left").select("zip", F.coalesce("_to", "unit_id").alias("unit_id"), "k", "s"), "louvain")
+            seen, score = _links(level, new, total, resolution, hubs)
             turn += 1
             if score <= best + 1e-9:
                 failed += 1
-                discard(new)
+                discard(new, seen)
                 continue
-            discard(own)
-            own, best, failed = new, score, 0
+            discard(own, links)
+            own, links, best, failed = new, seen, score, 0
         if best <= start + 1e-9:
             break
-        member = materialise(member.join(own.select(F.col("zip").alias("node"), F.col("unit_id").cast("string").alias("_n")), "node").select("zip", F.col("_n").alias("node")), "louvain")
-        a, b = own.select("zip", F.col("unit_id").cast("string").alias("u")), {"src": "_a", "dst": "_b"}
-        both = level.edges
-        for end, name in b.items():
-            both = with_fact(both, a, end, {"u": name})
-        edges = materialise(both.groupBy(F.col("_a").alias("src"), F.col("_b").alias("dst")).agg(F.sum("weight").alias("weight")), "louvain")
+        named = shuffled(own.select(F.col("zip").alias("node"), F.col("unit_id").cast("string").alias("_n")))
+        member = materialise(member.join(named, "node").select("zip", F.col("_n").alias("node")), "louvain")
+        loops = own.filter("s <> 0").select("unit_id", F.col("unit_id").alias("c"), F.col("s").alias("w"))
+        merged = links.select("unit_id", "c", "w").unionByName(loops).groupBy(F.col("unit_id").cast("string").alias("src"), F.col("c").cast("string").alias("dst"))
+        edges = materialise(merged.agg(F.sum("w").alias("weight")), "louvain")
+        discard(level.edges, links)
         level = Graph(own.select(F.col("unit_id").cast("string").alias("zip")).distinct(), edges)
     return member.select("zip", F.xxhash64("node").alias("unit_id"))
 

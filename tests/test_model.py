@@ -268,6 +268,23 @@ def test_louvain_finds_the_same_units_in_one_task_and_across_tasks(spark):
     assert regionalize.modularity(g, near) > 0.45 > regionalize.modularity(g, alone)
 
 
+def test_louvain_makes_its_edges_once(spark, tmp_path):
+    """A graph's edges may be a costly join, which no round may repeat."""
+    seen = str(tmp_path / "seen")
+
+    def run(batches):
+        for b in batches:
+            with open(seen, "a") as f:
+                f.write("x" * b.num_rows)
+            yield b
+
+    edges = [(a, b, 1.0) for c in "xy" for a in (c + "1", c + "2", c + "3") for b in (c + "1", c + "2", c + "3") if a != b] + [("x1", "y1", 1.0), ("y1", "x1", 1.0)]
+    df = spark.createDataFrame(edges, "src string, dst string, weight double").mapInArrow(run, "src string, dst string, weight double")
+    got = {r.zip: r.unit_id for r in regionalize.louvain(Graph(spark.createDataFrame([(z,) for z in ("x1", "x2", "x3", "y1", "y2", "y3")], "zip string"), df), local_edges=0).collect()}
+    assert got["x1"] == got["x2"] == got["x3"] != got["y1"] == got["y2"] == got["y3"]
+    assert len(open(seen).read()) == len(edges)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(2, 14), st.lists(st.tuples(st.integers(0, 13), st.integers(0, 13), st.integers(1, 9)), max_size=40), st.sampled_from([0.5, 1.0, 2.0]))
 def test_communities_never_lower_modularity_and_stay_in_components(n, trips, resolution):
