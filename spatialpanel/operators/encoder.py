@@ -23,6 +23,7 @@ from . import losses
 from .augment import DEFAULT_VIEWS, array_pair, augmented_pair
 from .blocks import matrix
 from .graph import Graph, neighbour_sum
+from .skew import shuffled
 
 LOSSES = ("reconstruction", "contrastive", "predictive", "multi")
 DEFAULT_WEIGHTS = {"reconstruction": 1.0, "contrastive": 1.0}
@@ -99,7 +100,7 @@ def temporal_features(series: DataFrame, params: dict[str, np.ndarray], features
 def graph_layer(vectors: DataFrame, g: Graph, params: dict[str, np.ndarray]) -> DataFrame:
     """(zip, embedding): relu(own . x + nbr . sum of the neighbours' x), without bias; islands have no neighbour term."""
     hidden = params["own"].shape[1]
-    met = vectors.join(neighbour_sum(g, vectors, hidden), "zip")
+    met = vectors.join(shuffled(neighbour_sum(g, vectors, hidden)), "zip")
     one, two = times_vector(literal(params["own"]), F.col("vec")), times_vector(literal(params["nbr"]), F.col("nbr"))
     return met.select("zip", relu(F.zip_with(one, two, lambda a, b: a + b)).alias("embedding"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from spatialpanel.operators import encoder, losses, regionalize, synth
 from spatialpanel.operators.graph import Graph, min_labels
 from spatialpanel.operators.metrics import contiguity_score, partition_stability
+from spatialpanel.session import materialise
 
 
 def pairs(spark, a, b):
@@ -285,6 +286,15 @@ def test_louvain_makes_its_edges_once(spark, tmp_path):
     assert len(open(seen).read()) == len(edges)
 
 
+def test_encode_broadcasts_no_vectors(spark):
+    """Only the two joins with the hubs, of which there are few, may be broadcast."""
+    series = spark.createDataFrame([("a", "f", [1.0, 2.0, 3.0]), ("b", "f", [2.0, 2.0, 0.0])], "geo_id string, feature string, xs array<double>")
+    series = materialise(series, "series")
+    g = Graph(spark.createDataFrame([("a",), ("b",)], "zip string"), materialise(spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, weight double"), "edges"))
+    z = encoder.encode(series, g, encoder.initial_params(encoder.EncoderConfig(1)), ["f"])
+    assert z._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 2
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(2, 14), st.lists(st.tuples(st.integers(0, 13), st.integers(0, 13), st.integers(1, 9)), max_size=40), st.sampled_from([0.5, 1.0, 2.0]))
 def test_communities_never_lower_modularity_and_stay_in_components(n, trips, resolution):
