@@ -272,9 +272,9 @@ def _blocks(wide: DataFrame, ends: DataFrame, geos: int, edges: int, rows: int)
     n = max(1, -(-(geos + edges) // rows))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     near = ends.groupBy(F.col("src").alias("zip")).agg(F.collect_list("dst").alias("near"))
-    core = wide.join(near, "zip", "left").select(block("zip").alias("block"), F.lit(0).alias("far"), "zip", "near", "xs")
+    core = wide.join(shuffled(near), "zip", "left").select(block("zip").alias("block"), F.lit(0).alias("far"), "zip", "near", "xs")
     beyond = ends.select(block("src").alias("block"), F.col("dst").alias("zip")).distinct().filter(F.col("block") != block("zip"))
-    halo = beyond.join(wide, "zip").select("block", F.lit(1).alias("far"), "zip", F.lit(None).cast("array<string>").alias("near"), "xs")
+    halo = shuffled(beyond).join(wide, "zip").select("block", F.lit(1).alias("far"), "zip", F.lit(None).cast("array<string>").alias("near"), "xs")
 
     def pack(t: pa.Table) -> pa.Table:
         t = t.sort_by([("far", "ascending"), ("zip", "ascending")]).combine_chunks()
@@ -340,7 +340,7 @@ def fit(series: DataFrame, g: Graph, c: EncoderConfig, features: list[str], geo:
     wide = wide.select("zip", F.concat(*[F.coalesce(F.col(f"f{i}").cast("array<double>"), zeros) for i in range(len(features))]).alias("xs"))
     keys = wide.select("zip")
     ends = g.edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
-    ends = materialise(ends.join(keys.withColumnRenamed("zip", "src"), "src", "left_semi").join(keys.withColumnRenamed("zip", "dst"), "dst", "left_semi"), "ends")
+    ends = materialise(ends.join(shuffled(keys.withColumnRenamed("zip", "src")), "src", "left_semi").join(shuffled(keys.withColumnRenamed("zip", "dst")), "dst", "left_semi"), "ends")
     n_edges = ends.count()
     blocks = _blocks(wide, ends, r.n, n_edges, r.n + n_edges if whole else block)
     if whole:
